@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
+from . import decontamination, langid, mixing, sharding, simhash, warc
+from .durable import durable, remove, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,11 +32,31 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    out = durable(warc.summary(spark, path))
+    remove(spark, path)
+    return out
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs.filter(~langid.held_out(F.col("doc_id")))))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_source_mixing": op2_source_mixing,
         "op3_rendezvous_sharding": op3_rendezvous_sharding,
         "op4_simhash": op4_simhash,
+        "op6_decontamination": op6_decontamination,
+        "op7_warc": op7_warc,
+        "op8_language_id": op8_language_id,
     }
 
 
@@ -75,5 +96,35 @@ FROM o
 """
 
 
+OP6_SQL = r"""
+WITH t AS (
+  SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS pos,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, row_number() OVER (),
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
+s AS (
+  SELECT DISTINCT side, id, pos, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS x
+  FROM t WHERE len(w) > 0),
+n AS (SELECT pos, count(*) AS total FROM s WHERE side = 'i' GROUP BY pos),
+p AS (
+  SELECT d.id AS doc_id, d.pos AS d_pos, i.id AS item_id, i.pos AS i_pos, count(*) AS shared
+  FROM s d JOIN s i ON d.x = i.x AND d.side = 'd' AND i.side = 'i' GROUP BY ALL)
+SELECT doc_id, item_id, shared, total, shared / total AS containment
+FROM p JOIN n ON n.pos = p.i_pos WHERE shared >= 0.8::DOUBLE * total
+"""
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": OP2_SQL}
+    return {"op2_source_mixing": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_warc": OP7_SQL}
