@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, mixing, sharding, simhash, warc
+from . import decontamination, embeddings, langid, mixing, sharding, simhash, warc
 from .durable import durable, remove, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Query]:
         "op2_source_mixing": op2_source_mixing,
         "op3_rendezvous_sharding": op3_rendezvous_sharding,
         "op4_simhash": op4_simhash,
+        "op5_embedding_caps": op5_embedding_caps,
         "op6_decontamination": op6_decontamination,
         "op7_warc": op7_warc,
         "op8_language_id": op8_language_id,
@@ -96,6 +101,26 @@ FROM o
 """
 
 
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (
+  SELECT a AS vec_id, b AS other FROM l
+  UNION
+  SELECT r.vec_id, l.b FROM r JOIN l ON r.other = l.a),
+c AS (SELECT vec_id, min(other) AS other FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(c.other, e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(c.other, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
 OP6_SQL = r"""
 WITH t AS (
   SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS pos,
@@ -127,4 +152,4 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_warc": OP7_SQL}
+    return {"op2_source_mixing": OP2_SQL, "op5_embedding_caps": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_warc": OP7_SQL}

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .durable import durable
 from .textscan import Words, slices
+from .tiles import tiled
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 TILE = 256
@@ -144,17 +145,8 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     band = F.array(*[F.struct(F.lit(i).cast("byte").alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)])
     met = prints.select("fp", F.explode(band).alias("k")).select("fp", "k.*")
-    counts = met.groupBy("band", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = met.join(counts, ["band", "bits"])
-    cut = F.ceil(F.col("n") / float(tile)).cast("int").alias("cut")
-    met = met.select("band", "bits", "fp", cut).withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("cut")).cast("int"))
-    tiles = met.groupBy("band", "bits", "cut", "tile").agg(F.collect_list("fp").alias("fps"))
-    alone = tiles.filter("cut = 1").select(F.array("fps").alias("tiles"))
-    partner = F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("partner")
-    cuttings = tiles.filter("cut > 1").select("band", "bits", "tile", "fps", partner)
-    pair = (F.least("tile", "partner").alias("low"), F.greatest("tile", "partner").alias("high"))
-    pairs = cuttings.groupBy("band", "bits", *pair).agg(F.collect_list("fps").alias("tiles")).select("tiles")
-    return alone.union(pairs).mapInArrow(_compare(radius), "a long, b long")
+    pairs = tiled(met, ["band", "bits"], "fp", F.xxhash64("fp"), tile)
+    return pairs.select("tiles").mapInArrow(_compare(radius), "a long, b long")
 
 
 def _prints(shingle: int, seed: int):

@@ -14,9 +14,9 @@ def shingles(text):
 
 def brute(docs, items):
     out = []
-    for d, t in docs:
-        for i, x in items:
-            s, have = shingles(x), shingles(t)
+    docs, items = ([(i, shingles(t)) for i, t in side] for side in (docs, items))
+    for d, have in docs:
+        for i, s in items:
             if s and len(s & have) >= 0.8 * len(s):
                 out.append((d, i, len(s & have), len(s), len(s & have) / len(s)))
     return sorted(out, key=str)
