@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, langid, mixing, sharding, simhash, warc
+from . import decontamination, embeddings, langid, lines, mixing, sharding, simhash, warc
 from .durable import durable, remove, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs.filter(~langid.held_out(F.col("doc_id")))))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_source_mixing": op2_source_mixing,
@@ -62,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op6_decontamination": op6_decontamination,
         "op7_warc": op7_warc,
         "op8_language_id": op8_language_id,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
