@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, langid, lines, mixing, sharding, simhash, warc
+from . import decontamination, embeddings, langid, lines, mixing, sharding, simhash, tokens, warc
 from .durable import durable, remove, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs.filter(~langid.held_out(F.col("doc_id")))))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    streams, eod = tokens.tokenized(_table(spark, sf_dir, "documents"))
+    path = scratch(spark, "tokens")
+    streams.write.option("compression", "zstd").parquet(path)
+    out = durable(tokens.scan(spark.read.parquet(path), eod).select("doc_id", "n_tokens"))
+    remove(spark, path)
+    return out
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +75,7 @@ def queries() -> dict[str, Query]:
         "op6_decontamination": op6_decontamination,
         "op7_warc": op7_warc,
         "op8_language_id": op8_language_id,
+        "op9_token_counts": op9_token_counts,
         "op10_line_dedup": op10_line_dedup,
     }
 
