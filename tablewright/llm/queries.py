@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, langid, lines, mixing, sharding, simhash, tokens, warc
+from . import decontamination, embeddings, langid, lines, mixing, quality, sharding, simhash, tokens, warc
 from .durable import durable, remove, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_plan(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -68,6 +73,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_cotraining": op1_quality_cotraining,
         "op2_source_mixing": op2_source_mixing,
         "op3_rendezvous_sharding": op3_rendezvous_sharding,
         "op4_simhash": op4_simhash,
