@@ -3,7 +3,7 @@
 Lines within EDITS edits of each other link; linked lines form classes, and a class's first line (by doc_id, then place)
 stays. A line is cut into EDITS + 1 segments, of which any line within EDITS edits holds at least one unchanged. Segments
 are indexed under the line's length and their number; a line probes, for each length it can match, the substrings at the
-positions that edits to their left and right allow. Meeting keys are candidates if counts of eight letters, packed into
+positions that edits to their left and right allow. Meeting keys are candidates if counts of seven letters, packed into
 one number, differ by no more than edits can explain. They are verified by a bit-parallel automaton over the band of
 2 x EDITS + 1 diagonals: one word for each number of edits, a bit for each diagonal.
 
@@ -26,7 +26,7 @@ from .components import components
 from .durable import durable
 
 EDITS, LEAST = 2, 16
-LETTERS = "etaoinsr"
+LETTERS = "etaoins"
 
 
 def normal(line: Column) -> Column:
@@ -65,6 +65,10 @@ def keys(line: Column, length: Column, edits: int = EDITS) -> tuple[Column, Colu
     return F.array(*index), F.array(*probe)
 
 
+def probes_of_equal_length(edits: int = EDITS) -> int:
+    return sum(min(i, edits - i) - max(-i, i - edits) + 1 for i in range(edits + 1))
+
+
 def letter_counts(line: Column) -> Column:
     """Counts of LETTERS modulo 256, a byte each."""
     out = F.lit(0).cast("long")
@@ -85,49 +89,58 @@ def counts_within(a: Column, b: Column, edits: int = EDITS) -> Column:
 
 
 def edit_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
-    """Whether a becomes b by at most `edits` insertions, deletions and substitutions of characters.
+    """Whether a becomes b by at most `edits` (up to 2) insertions, deletions and substitutions of characters.
 
-    State e holds, as bit d + edits, whether the characters of a read so far can become the prefix of b that is d
-    characters longer, with e edits. Reading a character moves all diagonals of the band at once.
+    Byte e of the state holds, as bit d + edits, whether the characters of a read so far can become the prefix of b that is
+    d characters longer, with e edits; insertions are added when the state is read. A character moves all diagonals of the
+    band and all numbers of edits at once. Characters are matched with the band's of b before, by shifted copies of b.
     """
-    full = (1 << (2 * edits + 1)) - 1
+    if edits > 2:
+        raise ValueError("a state has room for 2 edits")
+    field, each = (1 << (2 * edits + 1)) - 1, range(edits + 1)
+    full, every = sum(field << 8 * e for e in each), sum(1 << 8 * e for e in each)
     xs, ys = F.split(a, ""), F.split(b, "")
-
-    def step(state: Column, at: Column) -> Column:
-        same = F.lit(0)
-        for d in range(-edits, edits + 1):
-            hit = F.coalesce(F.get(ys, at + d) == F.get(xs, at), F.lit(False)) & (at + d >= 0)
-            same = same.bitwiseOR(F.when(hit, F.lit(1 << (d + edits))).otherwise(F.lit(0)))
-        new = []
-        for e in range(edits + 1):
-            old = state[f"e{e}"]
-            r = old.bitwiseAND(same)
-            if e:
-                less = state[f"e{e - 1}"]
-                r = r.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(full))
-            new.append(r)
-        return F.struct(*[x.alias(f"e{e}") for e, x in enumerate(new)])
-
-    start = []
-    for e in range(edits + 1):
-        start.append(F.lit(sum(1 << (d + edits) for d in range(e + 1))).alias(f"e{e}"))
-    indices = F.sequence(F.lit(0), F.length(a) - 1)
-    last = F.when(F.length(a) > 0, F.aggregate(indices, F.struct(*start), step)).otherwise(F.struct(*start))
+    shifted = [F.concat(F.array_repeat(F.lit(None).cast("string"), -d), ys) if d < 0 else F.slice(ys, d + 1, F.length(b)) for d in range(-edits, edits + 1)]
+    zipped = F.slice(F.arrays_zip(xs.alias("x"), *[y.alias(f"y{k}") for k, y in enumerate(shifted)]), 1, F.length(a))
+
+    def matches(z: Column) -> Column:
+        out = F.lit(0)
+        for k in range(2 * edits + 1):
+            out = out.bitwiseOR(F.when(z[f"y{k}"] == z["x"], F.lit(every << k)).otherwise(F.lit(0)))
+        return out
+
+    def closed(state: Column) -> Column:
+        out = state
+        for t in each[1:]:
+            out = out.bitwiseOR(F.shiftleft(state, 9 * t).bitwiseAND(F.lit(full & ~((1 << 8 * t) - 1))))
+        return out
+
+    def step(state: Column, same: Column) -> Column:
+        c = closed(state)
+        return c.bitwiseAND(same).bitwiseOR(F.shiftleft(c, 8).bitwiseOR(F.shiftleft(c, 7)).bitwiseAND(F.lit(full)))
+
+    start = F.lit(every << edits)
+    last = F.when(F.length(a) > 0, F.aggregate(F.transform(zipped, matches), start, step)).otherwise(start)
     gap = F.length(b) - F.length(a)
-    accepted = F.call_function("shiftright", last[f"e{edits}"], gap + edits).bitwiseAND(F.lit(1)) == 1
+    accepted = F.call_function("shiftright", closed(last), gap + 9 * edits).bitwiseAND(F.lit(1)) == 1
     return F.when(F.abs(gap) <= edits, accepted).otherwise(F.lit(False))
 
 
 def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """lines(h, line), distinct, of LEAST characters or more -> (a, b): the hashes of each pair of linked lines, once."""
-    length = F.length("line")
-    index, probe = keys(F.col("line"), length, edits)
-    given = lines.select("h", length.alias("n"), letter_counts(F.col("line")).alias("counts"), index.alias("index"), probe.alias("probe"))
-    left = given.select(F.explode("probe").alias("key"), F.col("h").alias("a"), F.col("n").alias("a_n"), F.col("counts").alias("a_counts")).filter("key is not null")
-    right = given.select(F.explode("index").alias("key"), F.col("h").alias("b"), F.col("n").alias("b_n"), F.col("counts").alias("b_counts"))
-    once = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
+    # the length is a column of its own, so that it is counted once a line
+    lines = lines.withColumn("n", F.length("line"))
+    index, probe = keys(F.col("line"), F.col("n"), edits)
+    given = lines.select("h", letter_counts(F.col("line")).alias("counts"), index.alias("index"), probe.alias("probe"))
+    left = given.select(F.posexplode("probe").alias("at", "key"), F.col("h").alias("a"), F.col("counts").alias("a_counts")).filter("key is not null")
+    # probes of equal length come first; the top byte marks them
+    equal = F.when(F.col("at") < probes_of_equal_length(edits), F.lit(1 << 56)).otherwise(F.lit(0))
+    left = left.select("key", "a", F.col("a_counts").bitwiseOR(equal).alias("a_counts"))
+    right = given.select(F.explode("index").alias("key"), F.col("h").alias("b"), F.col("counts").alias("b_counts"))
+    once = (F.col("a_counts") < (1 << 56)) | (F.col("a") < F.col("b"))
     met = left.join(right, (left["key"] == right["key"]) & once & counts_within(F.col("a_counts"), F.col("b_counts"), edits))
     pairs = met.select("a", "b").distinct()
+    lines = lines.drop("n")
     a = lines.select(F.col("h").alias("a"), F.col("line").alias("a_line"))
     b = lines.select(F.col("h").alias("b"), F.col("line").alias("b_line"))
     return pairs.join(a, "a").join(b, "b").filter(edit_distance_within(F.col("a_line"), F.col("b_line"), edits)).select("a", "b")
