@@ -53,9 +53,14 @@ class Aggregation(Compiler):
         return super()._call(name, arguments, named)
 
 
-def clauses(df: DataFrame, source: str, **options) -> list[Column]:
+def pairs(df: DataFrame, source: str, **options) -> list[tuple[str, Column]]:
+    """(name, aggregate) of clauses."""
     compiler = Aggregation(df, **options)
-    return [c for clause in parse_clauses(source) for c in named(compiler.compile(clause.tree), clause)]
+    return [x for clause in parse_clauses(source) for x in zip(clause.names, named(compiler.compile(clause.tree), clause), strict=True)]
+
+
+def clauses(df: DataFrame, source: str, **options) -> list[Column]:
+    return [c for _, c in pairs(df, source, **options)]
 
 
 def _const(v: Val | None, default):

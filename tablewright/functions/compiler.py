@@ -104,6 +104,7 @@ class Compiler:
         return build(items.col, run), seen[0]
 
     def _call(self, name: str, arguments: list[tuple], named: dict[str, tuple]) -> Val:
+        name = name.lower()
         if name in ("try", "warn"):
             lenient = Compiler(self.df, self.row_index, self.under, True, self.names)
             try:

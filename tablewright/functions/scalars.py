@@ -123,7 +123,7 @@ def _idiv(c, x: Val, y: Val) -> Val:
     if a.kind == b.kind == "int":
         return Val(F.call_function("div", a.col, F.nullif(b.col, F.lit(0)) if c.lenient else b.col), "int")
     p, q = a.col.cast("double"), b.col.cast("double")
-    return Val(F.when(q > 0, F.floor(divided(p, q))).otherwise(F.ceil(divided(p, q))).cast("double"), "float")
+    return Val(F.when(q > 0, F.floor(divided(p, q))).otherwise(F.ceil(divided(p, q))).cast("long"), "int")
 
 
 @function("mod")
@@ -390,11 +390,13 @@ def _concat(c, *xs: Val) -> Val:
 
 @function("contains")
 def _contains(c, where: Val, what: Val) -> Val:
+    """Numbers are found among numbers only, other items as texts."""
     if where.kind == "map":
         return Val(F.map_contains_key(where.col, text(what)), "bool")
     if where.kind == "list":
-        inner = Val(None, where.inner.kind)
-        item = text(what) if inner.kind == "str" else number(what).col if inner.kind in NUMBERS else what.col
+        if (where.inner.kind in NUMBERS) != (what.kind in NUMBERS):
+            return Val(F.lit(False), "bool")
+        item = text(what) if where.inner.kind == "str" else what.col
         return Val(F.coalesce(F.array_contains(where.col, item), F.lit(False)), "bool")
     if what.kind == "regex":
         return Val(F.rlike(text(where), what.col), "bool")

@@ -28,6 +28,12 @@ def _options(df: DataFrame, source: str, order_by) -> tuple[DataFrame, dict]:
     return df, {"order": order_struct(order_by)}
 
 
+def _spread(grouped, keys: list[str], made: list[tuple[str, Column]]) -> DataFrame:
+    """Aggregates under their names. They are computed under others, lest a name be taken for a column of the table."""
+    out = grouped.agg(*[c.alias(f"_made{i}") for i, (_, c) in enumerate(made)])
+    return out.select(*[_at(k) for k in keys], *[F.col(f"_made{i}").alias(n) for i, (n, _) in enumerate(made)])
+
+
 def agg(df: DataFrame, source: str, order_by=None, along_rows: str | None = None, along_columns: str | None = None, pooled: str | None = None) -> DataFrame:
     """One row of aggregates. along_columns: the clauses for each column of a selection, as `_`, {} in names its name;
     along_rows: for each row, over the cells of a selection, as `_`; pooled: over all cells of a selection."""
@@ -35,20 +41,20 @@ def agg(df: DataFrame, source: str, order_by=None, along_rows: str | None = None
         return _along_rows(df, source, along_rows)
     if pooled:
         cells = df.select(F.explode(F.array(*[_at(n) for n in select_names(df, pooled)])).alias("cell"))
-        return cells.agg(*aggregates.clauses(cells, source, under="cell"))
+        return _spread(cells.groupBy(), [], aggregates.pairs(cells, source, under="cell"))
     rows, options = _options(df, source, order_by)
     if along_columns:
-        return rows.agg(*_along(rows, source, select_names(df, along_columns), options))
-    return rows.agg(*aggregates.clauses(rows, source, **options))
+        return _spread(rows.groupBy(), [], _along(rows, source, select_names(df, along_columns), options))
+    return _spread(rows.groupBy(), [], aggregates.pairs(rows, source, **options))
 
 
-def _along(df: DataFrame, source: str, columns: list[str], options: dict) -> list[Column]:
+def _along(df: DataFrame, source: str, columns: list[str], options: dict) -> list[tuple[str, Column]]:
     out = []
     for name in columns:
         compiler = Aggregation(df, under=name, **options)
         for clause in parse_clauses(source):
             clause.names = [n.replace("{}", name) if "{}" in n else f"{n}_{name}" for n in clause.names]
-            out += named(compiler.compile(clause.tree), clause)
+            out += zip(clause.names, named(compiler.compile(clause.tree), clause), strict=True)
     return out
 
 
@@ -57,7 +63,7 @@ def _along_rows(df: DataFrame, source: str, spec: str) -> DataFrame:
     item = F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("cell")
     keyed = df.withColumn("_id", F.monotonically_increasing_id())
     flat = keyed.select("_id", item)
-    made = flat.groupBy("_id").agg(*aggregates.clauses(flat, source, under="cell"))
+    made = _spread(flat.groupBy("_id"), ["_id"], aggregates.pairs(flat, source, under="cell"))
     return keyed.join(made, "_id", "left").drop("_id")
 
 
@@ -66,14 +72,14 @@ def groupby(df: DataFrame, spec: str, source: str, order_by=None, keep: str | No
     first row; totals: the whole table's aggregates appended to each row."""
     names = select_names(df, spec)
     rows, options = _options(df, source, order_by)
-    made = _along(rows, source, select_names(df, along_columns), options) if along_columns else aggregates.clauses(rows, source, **options)
-    extra = [F.min_by(_at(n), order_struct(order_by)).alias(n) for n in select_names(df, keep)] if keep else []
-    first = [F.min(order_struct(order_by)).alias("_first")] if order_by else []
-    out = rows.groupBy(*[_at(n) for n in names]).agg(*extra, *made, *first)
+    made = _along(rows, source, select_names(df, along_columns), options) if along_columns else aggregates.pairs(rows, source, **options)
+    extra = [(n, F.min_by(_at(n), order_struct(order_by))) for n in select_names(df, keep)] if keep else []
+    first = [("_first", F.min(order_struct(order_by)))] if order_by else []
+    out = _spread(rows.groupBy(*[_at(n) for n in names]), names, [*extra, *made, *first])
     if order_by:
         out = out.orderBy("_first").drop("_first")
     if totals:
-        whole = rows.agg(*made)
+        whole = _spread(rows.groupBy(), [], made)
         out = out.crossJoin(F.broadcast(whole.toDF(*[f"total_{c}" for c in whole.columns])))
     return out
 
@@ -210,13 +216,13 @@ def matrix_count(df: DataFrame, x: str, y: str, weight: str | None = None, label
 def adjacency(df: DataFrame, source: str, target: str, weight: str | None = None, undirected: bool = False) -> DataFrame:
     """The square matrix of an edge list, with a row and a column for each node."""
     w = _at(weight) if weight else F.lit(1).cast("long")
-    edges = df.select(_at(source).cast("string").alias("a"), _at(target).cast("string").alias("b"), w.alias("w"))
+    edges = df.select(_at(source).cast("string").alias("_a"), _at(target).cast("string").alias("_b"), w.alias("_w"))
     if undirected:
-        edges = edges.union(edges.filter("a <> b").select("b", "a", "w"))
-    nodes = edges.select("a").union(edges.select("b")).distinct()
-    labels = [r[0] for r in nodes.orderBy("a").limit(10_000).collect()]
-    made = edges.groupBy("a").pivot("b", labels).agg(F.sum("w"))
-    return nodes.join(made, "a", "left").orderBy("a").withColumnRenamed("a", "node")
+        edges = edges.union(edges.filter("_a <> _b").select("_b", "_a", "_w"))
+    nodes = edges.select("_a").union(edges.select("_b")).distinct()
+    labels = [r[0] for r in nodes.orderBy("_a").limit(10_000).collect()]
+    made = edges.groupBy("_a").pivot("_b", labels).agg(F.sum("_w"))
+    return nodes.join(made, "_a", "left").orderBy("_a").withColumnRenamed("_a", "node")
 
 
 def correlations(df: DataFrame, spec: str | None = None, diagonal: bool = True) -> DataFrame:

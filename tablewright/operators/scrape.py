@@ -110,6 +110,11 @@ def parse(html: str) -> Node:
 PART = re.compile(r"(?P<tag>[\w*-]+)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w:-]+)(?:(?P<op>[~^$*|]?=)[\"']?(?P<val>[^\"'\]]*)[\"']?)?\]|:(?P<pseudo>[\w-]+)(?:\((?P<arg>[^)]*)\))?")
 
 
+#: Parts of a selector list, and steps of a selector: brackets and parentheses stay whole.
+CHOICE = re.compile(r"(?:\[[^\]]*\]|\([^)]*\)|[^,\[(])+")
+STEP = re.compile(r"(?:\[[^\]]*\]|\([^)]*\)|[^\s>+~\[(])+|[>+~]")
+
+
 def _simple(node: Node, part: str) -> bool:
     for m in PART.finditer(part):
         if m["tag"] and m["tag"] not in ("*", node.name):
@@ -135,7 +140,7 @@ def _simple(node: Node, part: str) -> bool:
 
 
 def matches(node: Node, css: str) -> bool:
-    return any(_chain(node, [p for p in re.split(r"\s*([>+~])\s*|\s+", s.strip()) if p]) for s in css.split(","))
+    return any(_chain(node, STEP.findall(s)) for s in CHOICE.findall(css))
 
 
 def _chain(node: Node, parts: list[str]) -> bool:

@@ -32,7 +32,9 @@ class Table:
     def run(self, command: str, *args, **options) -> Table:
         f = COMMANDS[command]
         names = list(inspect.signature(f).parameters)
-        if "order_by" in names and "order_by" not in options and self.order_by is not None and len(args) < names.index("order_by"):
+        order = [self.order_by] if isinstance(self.order_by, str) else self.order_by or []
+        there = bool(order) and all(c in self.df.columns for c in order)
+        if there and "order_by" in names and "order_by" not in options and len(args) + 1 <= names.index("order_by"):
             options["order_by"] = self.order_by
         return Table(f(self.df, *args, **options), self.order_by)
 

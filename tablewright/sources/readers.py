@@ -46,7 +46,8 @@ def csv(spark: SparkSession, path: str | list[str], sep: str | None = None, head
 
 def preambled(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """vcf, gtf, gff, sam, bed: tab-separated after lines that don't belong to the table."""
-    lines = spark.read.text(path).filter(~F.col("value").rlike(PREAMBLE[kind]))
+    preamble = PREAMBLE[kind]
+    lines = spark.read.text(path).filter(~F.col("value").rlike(preamble))
     if kind == "vcf":
         top = spark.read.text(path).filter(F.col("value").rlike("^#[^#]")).first()
         names = top[0].lstrip("#").split("\t")
