@@ -14,25 +14,27 @@ def order_struct(order_by: str | list[str]) -> Column:
     return F.struct(*[F.col(f"`{n}`") for n in names])
 
 
-def numbered(df: DataFrame, order_by: str | list[str], name: str = "_row") -> DataFrame:
-    """df with `name`, each row's place from 0. No task holds all rows: they are numbered within ranges of the order, to
-    which the counts of the ranges before are added. The ranges' bounds are constants of the plan."""
+def ranged(df: DataFrame, order_by: str | list[str], name: str = "_range") -> DataFrame:
+    """df with `name`, the number (below RANGES) of the range of the order that a row falls into; the bounds are constants of
+    the plan, picked from a sample by hash."""
     order = order_struct(order_by)
     keys = df.select(order.alias("k"))
     sample = keys.orderBy(F.xxhash64("k"), "k").limit(RANGES * 32)
-    picked = sample.orderBy("k").agg(F.array_sort(F.collect_list("k")).alias("k"))
+    picked = sample.agg(F.array_sort(F.collect_list("k")).alias("k"))
     ranks = [F.get("k", F.floor(F.size("k") * (i / RANGES)).cast("int")) for i in range(1, RANGES)]
-    row = picked.select(F.array(*ranks).alias("bounds")).first()
-    bounds = [b for b in (row.bounds if row else []) if b is not None]
-    if not bounds:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(order)) - 1)
-    kind = keys.schema["k"].dataType
-    table = df.sparkSession.createDataFrame([(bounds,)], f"bounds array<{kind.simpleString()}>")
-    placed = df.crossJoin(F.broadcast(table)).withColumn("_range", F.size(F.filter("bounds", lambda b: b <= order))).drop("bounds")
+    bounds = [b for b in picked.select(F.array(*ranks).alias("bounds")).first().bounds if b is not None]
+    table = df.sparkSession.createDataFrame([(bounds,)], f"_bounds array<{keys.schema['k'].dataType.simpleString()}>")
+    return df.crossJoin(F.broadcast(table)).withColumn(name, F.size(F.filter("_bounds", lambda b: b <= order))).drop("_bounds")
+
+
+def numbered(df: DataFrame, order_by: str | list[str], name: str = "_row") -> DataFrame:
+    """df with `name`, each row's place from 0. No task holds all rows: they are numbered within ranges of the order, to
+    which the counts of the ranges before are added."""
+    placed = ranged(df, order_by)
     counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(Window.orderBy("_range"))
     offsets = counts.select("_range", (upto - F.col("_n")).alias("_offset"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(order_struct(order_by)))
     out = placed.withColumn("_within", within).join(F.broadcast(offsets), "_range")
     return out.withColumn(name, F.col("_offset") + F.col("_within") - 1).drop("_range", "_within", "_offset")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.compiler import Compiler, expression, named, predicate, select_names, selection
 from ..functions.syntax import parse, parse_clauses
 from ..functions.values import TypeProblem, Val, kind_of, number
-from .order import numbered, order_struct, window
+from .order import numbered, order_struct, ranged, window
 
 
 def _at(name: str) -> Column:
@@ -255,17 +255,31 @@ def _chosen(df: DataFrame, names: list[str], order: Column, choose: str) -> Data
     return groups.select(F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(1))), F.get(rows, 0)["r"], step).alias("_row")).select("_row.*")
 
 
-def fill(df: DataFrame, spec: str | None = None, value=None, order_by=None, group: list[str] | None = None) -> DataFrame:
-    """Empty cells filled with a constant, or with the last filled cell before."""
-    chosen = set(select_names(df, spec) if spec else df.columns)
+def _filled(df: DataFrame, n: str) -> Column:
+    return F.nullif(_at(n), F.lit("")) if df.schema[n].dataType.simpleString() == "string" else _at(n)
 
-    def filled(n: str) -> Column:
-        x = F.nullif(_at(n), F.lit("")) if df.schema[n].dataType.simpleString() == "string" else _at(n)
-        if value is not None:
-            return F.coalesce(x, F.lit(value))
-        return F.last(x, ignorenulls=True).over(window(group, order_by).rowsBetween(Window.unboundedPreceding, 0))
 
-    return df.select(*[filled(n).alias(n) if n in chosen else _at(n) for n in df.columns])
+def fill(df: DataFrame, spec: str | None = None, value=None, order_by=None, group: list[str] | None = None) -> DataFrame:
+    """Empty cells filled with a constant, or with the last filled cell before.
+
+    Without groups, rows are filled within ranges of the order, then from the last filled cell of the ranges before: those
+    are a small table of at most 64 rows.
+    """
+    chosen = select_names(df, spec) if spec else df.columns
+    if value is not None:
+        return df.select(*[F.coalesce(_filled(df, n), F.lit(value)).alias(n) if n in chosen else _at(n) for n in df.columns])
+    placed = df if group else ranged(df, order_by)
+    before = window(group or ["_range"], order_by).rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed.select(*[F.last(_filled(df, n), ignorenulls=True).over(before).alias(n) if n in chosen else _at(n) for n in df.columns], *([] if group else ["_range"]))
+    if group:
+        return rows
+    # filled downwards, a range's last filled cell is that of its last row
+    order = order_struct(order_by)
+    ends = placed.groupBy("_range").agg(*[F.max_by(_at(n), F.when(_filled(df, n).isNotNull(), order)).alias(f"_end{i}") for i, n in enumerate(chosen)])
+    carry = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_range", *[F.last(f"_end{i}", ignorenulls=True).over(carry).alias(f"_from{i}") for i in range(len(chosen))])
+    joined = rows.join(F.broadcast(carried), "_range", "left")
+    return joined.select(*[F.coalesce(_at(n), F.col(f"_from{chosen.index(n)}")).alias(n) if n in chosen else _at(n) for n in df.columns])
 
 
 def blank(df: DataFrame, order_by, spec: str | None = None, text: str = "", group: list[str] | None = None) -> DataFrame:
@@ -280,3 +294,26 @@ def blank(df: DataFrame, order_by, spec: str | None = None, text: str = "", grou
 def evaluate(spark, source: str):
     """The value of an expression without columns."""
     return spark.range(1).select(expression(spark.range(1), source).col.alias("value")).first()[0]
+
+
+def headers(*tables: DataFrame) -> list[tuple[str, list[int]]]:
+    """Each header's name with the numbers of the tables that have it, in the order in which they first occur."""
+    names = dict.fromkeys(n for t in tables for n in t.columns)
+    return [(n, [i for i, t in enumerate(tables) if n in t.columns]) for n in names]
+
+
+def is_sorted(df: DataFrame, spec: str, order_by, numeric: bool = False) -> bool:
+    """Whether rows, in their order, ascend by the selected columns: only neighbours and ends of ranges are compared."""
+    names = select_names(df, spec)
+    keys = [number(Val(_at(n), *kind_of(df.schema[n].dataType)), lenient=True).col if numeric else _at(n) for n in names]
+    rows, key = ranged(df, order_by), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    within = key < F.lag(key).over(window(["_range"], order_by))
+    bad = rows.select("_range", order_struct(order_by).alias("o"), key.alias("k"), within.alias("bad"))
+    ends = bad.groupBy("_range").agg(F.bool_or("bad").alias("bad"), F.min_by("k", "o").alias("first"), F.max_by("k", "o").alias("last"))
+    across = ends.select("bad", (F.col("first") < F.lag("last").over(Window.orderBy("_range"))).alias("step"))
+    return across.filter("coalesce(bad, false) or coalesce(step, false)").isEmpty()
+
+
+def is_unique(df: DataFrame, spec: str) -> bool:
+    """Whether no two rows share the selected columns' cells."""
+    return df.groupBy(*[_at(n) for n in select_names(df, spec)]).count().filter("count > 1").isEmpty()

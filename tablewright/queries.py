@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import streaming
-from .operators import aggregate, graph, joins, reshape, rows, scrape, search, text
+from .operators import aggregate, display, graph, joins, reshape, rows, scrape, search, text
 from .plans import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,11 @@ q("fill_forward", "SELECT event_id, last_value(CASE WHEN value > 50 THEN value E
 q("fill_constant", "SELECT p_partkey, CASE WHEN p_size > 10 THEN p_size ELSE -1 END AS p_size FROM part", lambda t: rows.fill(t.part.select("p_partkey", F.when(F.col("p_size") > 10, F.col("p_size")).alias("p_size")), "p_size", value=-1))
 q("blank_repeats", "SELECT event_id, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN '' ELSE event_type END AS event_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
   lambda t: rows.blank(t.events.select("event_id", "user_id", "event_type"), "event_id", "event_type", group=["user_id"]).select("event_id", "event_type"))
+q("fill_whole_table", "SELECT o_orderkey, last_value(CASE WHEN o_totalprice > 400000 THEN o_custkey END IGNORE NULLS) OVER (ORDER BY o_orderkey) AS o_custkey FROM orders",
+  lambda t: rows.fill(t.orders.select("o_orderkey", F.when(F.col("o_totalprice") > 400000, F.col("o_custkey")).alias("o_custkey")), "o_custkey", order_by="o_orderkey"))
+q("plot_buckets", "WITH e AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders) SELECT a + (k + 0.5) * ((b - a) / 20) AS x, avg(o_custkey) AS y FROM (SELECT a, b, o_custkey, least(floor((o_totalprice - a) / ((b - a) / 20)), 19) AS k FROM orders, e) GROUP BY a, b, k",
+  lambda t: display.plot_points(t.orders, "o_totalprice", "o_custkey", 20))
+q("plot_regression", "SELECT regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept, regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem", lambda t: display.regression(t.lineitem, "l_quantity", "l_extendedprice"))
 q("sample_rows", None, lambda t: rows.sample(t.customer, 20, 7))
 q("sample_groups", None, lambda t: rows.sample(t.orders, 3, 7, weight="o_totalprice", group="o_orderpriority"))
 q("shuffle_rows", "SELECT * FROM nation", lambda t: rows.shuffle(t.nation, 3))

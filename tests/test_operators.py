@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import aggregate, graph, joins, reshape, rows, scrape, search, text
+from tablewright.operators import aggregate, display, graph, joins, reshape, rows, scrape, search, text
 from tablewright.operators.order import numbered
 from tablewright.plans import pipeline
 
@@ -215,3 +215,13 @@ def test_order_does_not_depend_on_partitions(spark, groups):
     for n in (1, 3, 7):
         again = groups.repartition(n, "b")
         assert got(aggregate.groupby(again, "id", "values(b) as v", order_by="r")) == [("x", "2"), ("y", "3|2"), ("z", "4|3|6")]
+
+
+def test_checks_and_displays(spark, groups):
+    assert rows.headers(groups, groups.select("b", "id")) == [("r", [0]), ("id", [0, 1]), ("a", [0]), ("b", [0, 1])]
+    assert rows.is_sorted(groups, "r", "r") and not rows.is_sorted(groups, "a", "r") and rows.is_unique(groups, "r") and not rows.is_unique(groups, "a")
+    n = table(spark, "n long", *[(i,) for i in range(500)])
+    assert rows.is_sorted(n, "n", "n") and not rows.is_sorted(n.withColumn("m", F.when(F.col("n") == 250, 0).otherwise(F.col("n"))), "m", "n")
+    assert "█" in display.hist(aggregate.frequency(groups, "id")) and "│ id" in display.view(groups)
+    line = display.regression(table(spark, "x double, y double", (0.0, 1.0), (1.0, 3.0), (2.0, 5.0)), "x", "y").first()
+    assert math.isclose(line.slope, 2) and math.isclose(line.intercept, 1)
