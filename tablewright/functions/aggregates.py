@@ -234,7 +234,8 @@ def _counts(x: Val) -> Column:
     return F.array_sort(runs)
 
 
-AGGREGATES["mode"] = lambda c, x: Val(F.get(_counts(x), 0)["v"], "str")
+# ties go to the smallest value; a map of counts, merged from tasks
+AGGREGATES["mode"] = lambda c, x: Val(F.call_function("mode", F.nullif(text(x), F.lit("")), F.lit(True)), "str")
 AGGREGATES["modes"] = lambda c, x, sep=None: (lambda n: Val(_joined(F.transform(F.filter(n, lambda s: s["n"] == F.get(n, 0)["n"]), lambda s: s["v"]), sep), "str"))(_counts(x))
 AGGREGATES["most_common"] = lambda c, k, x, sep=None: Val(_joined(F.transform(F.slice(_counts(x), 1, k.const), lambda s: s["v"]), sep), "str")
 AGGREGATES["most_common_counts"] = lambda c, k, x, sep=None: Val(_joined(F.transform(F.slice(_counts(x), 1, k.const), lambda s: (-s["n"]).cast("string")), sep), "str")

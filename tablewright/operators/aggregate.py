@@ -15,6 +15,10 @@ from ..functions.values import Val, kind_of, number, present
 from .order import numbered, order_struct
 
 
+#: Columns that a matrix has at most.
+MOST_COLUMNS = 10_000
+
+
 def _at(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -220,7 +224,9 @@ def adjacency(df: DataFrame, source: str, target: str, weight: str | None = None
     if undirected:
         edges = edges.union(edges.filter("_a <> _b").select("_b", "_a", "_w"))
     nodes = edges.select("_a").union(edges.select("_b")).distinct()
-    labels = [r[0] for r in nodes.orderBy("_a").limit(10_000).collect()]
+    labels = [r[0] for r in nodes.orderBy("_a").limit(MOST_COLUMNS + 1).collect()]
+    if len(labels) > MOST_COLUMNS:
+        raise ValueError(f"a matrix of more than {MOST_COLUMNS} nodes")
     made = edges.groupBy("_a").pivot("_b", labels).agg(F.sum("_w"))
     return nodes.join(made, "_a", "left").orderBy("_a").withColumnRenamed("_a", "node")
 

@@ -13,6 +13,10 @@ from ..functions.syntax import parse_clauses
 from .order import numbered, order_struct, window
 
 
+#: Columns that a pivot makes at most.
+MOST_COLUMNS = 10_000
+
+
 def _at(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -98,7 +102,9 @@ def pivot(df: DataFrame, spec: str, clause: str, group: str | None = None, value
     rows = df.withColumn("_pivot", key)
     if values is None:
         found = rows.groupBy("_pivot").agg(F.min(order_struct(order_by) if order_by else F.col("_pivot")).alias("_first"))
-        values = [r[0] for r in found.orderBy("_first").limit(10_000).collect()]
+        values = [r[0] for r in found.orderBy("_first").limit(MOST_COLUMNS + 1).collect()]
+        if len(values) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} columns: give values")
     return rows.groupBy(*[_at(g) for g in groups]).pivot("_pivot", values).agg(value)
 
 
