@@ -29,6 +29,13 @@ TOTAL = 1.5
 MOST = 2.0
 #: Rank buckets a level, and levels.
 FAN, LEVELS = 128, 3
+#: Sources up to which their table, some 60 bytes a source, is sent to all tasks; more are joined as any table is.
+FEW_SOURCES = 50_000
+
+
+def few(sources: DataFrame) -> DataFrame:
+    """A kept table of one row a source, broadcast if it is small."""
+    return F.broadcast(sources) if sources.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else sources
 
 
 def word_count(text: Column) -> Column:
@@ -106,7 +113,7 @@ def plan(rows: DataFrame, cycle: Sequence[float] = CYCLE, total: float = TOTAL,
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = durable(source_targets(sizes, cycle, total, most))
     t = targets.filter("chance > 0").select(F.col("source").alias("t_source"), "chance", "rest")
-    ranked = rows.filter("size > 0").join(t, F.col("source").eqNullSafe(F.col("t_source")))
+    ranked = rows.filter("size > 0").join(few(t), F.col("source").eqNullSafe(F.col("t_source")))
     cuts = _cuts(ranked.select("source", "size", pareto_rank(F.col("u"), F.col("chance")).alias("rank"), "rest"))
     cuts = cuts.select(F.col("source").alias("c_source"), "cut")
     return durable(targets.join(cuts, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source"))
@@ -122,7 +129,7 @@ def mix_plan(docs: DataFrame, cycle: Sequence[float] = CYCLE, total: float = TOT
     """One row a document: doc_id, source, size, source_size, target, copies, taken (words, repeats counted)."""
     text = F.col("text")
     rows = durable(docs.select("doc_id", "source", word_count(text).alias("size"), uniform(F.col("doc_id"), text).alias("u")))
-    p = plan(rows, cycle, total, most).withColumnRenamed("source", "p_source")
+    p = few(plan(rows, cycle, total, most)).withColumnRenamed("source", "p_source")
     out = rows.join(p, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("copies", copies(F.col("u"), F.col("size")))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -135,7 +142,7 @@ def mix_rows(docs: DataFrame, cycle: Sequence[float] = CYCLE, total: float = TOT
     p = plan(rows, cycle, total, most).select(F.col("source").alias("_mix_source"), p.alias("_mix_plan"))
     named = docs.select(F.struct(*docs.columns).alias("_mix_row"))
     row = F.col("_mix_row")
-    joined = named.join(p, row["source"].eqNullSafe(F.col("_mix_source"))).select("_mix_row", "_mix_plan.*")
+    joined = named.join(few(p), row["source"].eqNullSafe(F.col("_mix_source"))).select("_mix_row", "_mix_plan.*")
     n = copies(uniform(row["doc_id"], row["text"]), word_count(row["text"]))
     out = joined.select("_mix_row", n.alias("_mix_n")).filter("_mix_n > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_n"))))
     return out.select("_mix_row.*")
