@@ -120,9 +120,9 @@ def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, roots = [], []
-            for tiles in batch.column("tiles").to_pylist():
-                left = np.array(tiles[0], np.int64).view(np.uint64)
-                right = np.array(tiles[-1], np.int64).view(np.uint64)
+            for row in batch.column("tiles"):
+                tiles = [t.values.to_numpy().view(np.uint64) for t in row.values]  # views of the batch, no Python numbers
+                left, right = tiles[0], tiles[-1]
                 i, j = close_pairs(left, right, radius)
                 if len(tiles) > 1:
                     j, both = j + len(left), np.concatenate([left, right])
