@@ -3,7 +3,7 @@
 Lines within EDITS edits of each other link; linked lines form classes, and a class's first line (by doc_id, then place)
 stays. A line is cut into EDITS + 1 segments, of which any line within EDITS edits holds at least one unchanged. Segments
 are indexed under the line's length and their number; a line probes, for each length it can match, the substrings at the
-positions that edits to their left and right allow. Meeting keys are candidates if counts of seven letters, packed into
+positions that edits to their left and right allow. Meeting keys are candidates if counts of ten letters, packed into
 one number, differ by no more than edits can explain. They are verified by a bit-parallel automaton over the band of
 2 x EDITS + 1 diagonals: one word for each number of edits, a bit for each diagonal.
 
@@ -26,55 +26,51 @@ from .components import components
 from .durable import durable
 
 EDITS, LEAST = 2, 16
-LETTERS = "etaoins"
+#: Linked lines up to which their table, some 80 bytes a line, is sent to all tasks.
+FEW_LINKED = 200_000
+LETTERS = "etaoinsrhd"
 
 
 def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"\s+", " "))
 
 
-def segments(length: int | Column, edits: int = EDITS) -> list[tuple[Column, Column]]:
-    """(1-based start, length) of each of the segments of a line: lengths as even as can be, the longer ones last."""
+def segment(length: Column, number: Column, edits: int = EDITS) -> tuple[Column, Column]:
+    """(1-based start, length) of a segment of a line: lengths as even as can be, the longer ones last."""
     n = edits + 1
-    length = F.lit(length) if isinstance(length, int) else length
-    short = F.floor(length / n).cast("int")
-    longer = (length - short * n).cast("int")
-    out = []
-    for i in range(n):
-        extra = F.greatest(F.lit(0), F.lit(i) - (F.lit(n) - longer))
-        out.append((F.lit(1) + short * i + extra, short + F.when(F.lit(i) >= F.lit(n) - longer, 1).otherwise(0)))
-    return out
+    short = F.call_function("div", length, F.lit(n)).cast("int")
+    shorter_ones = n - (length - short * n)
+    start = 1 + short * number + F.greatest(F.lit(0), number - shorter_ones)
+    return start.cast("int"), short + F.when(number >= shorter_ones, 1).otherwise(0)
 
 
-def _key(line: Column, length: Column, number: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(number), line.substr(start, size))
+def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
+    """(how much shorter the other line is, segment, shift of its place) of all substrings that a line probes.
 
+    i edits at most are left of segment i and edits - i right of it, as an earlier or later segment matches otherwise.
+    """
+    return [(d, i, shift) for d in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
 
-def keys(line: Column, length: Column, edits: int = EDITS) -> tuple[Column, Column]:
-    """(index keys, probe keys), arrays. A probe key's line is as long as the index key's, or up to `edits` longer."""
-    index = [_key(line, length, i, start, size) for i, (start, size) in enumerate(segments(length, edits))]
-    probe = []
-    for shorter in range(edits + 1):
-        other = (length - shorter).cast("int")
-        for i, (start, size) in enumerate(segments(other, edits)):
-            # i edits at most left of the segment and edits - i right of it, as an earlier or later one matches otherwise
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                begin = start + shift
-                inside = (begin >= 1) & (begin + size - 1 <= length) & (other >= LEAST)
-                probe.append(F.when(inside, _key(line, other, i, begin, size)))
-    return F.array(*index), F.array(*probe)
 
+def keyed(lines: DataFrame, given: list[tuple[int, int, int]], edits: int = EDITS) -> DataFrame:
+    """lines(.., line, n) with a row for each of (shorter, segment, shift): `shorter` and the key of that substring.
 
-def probes_of_equal_length(edits: int = EDITS) -> int:
-    return sum(min(i, edits - i) - max(-i, i - edits) + 1 for i in range(edits + 1))
+    The constants are exploded, so that the key is one small expression and not one for each of them.
+    """
+    wanted = F.array(*[F.struct(F.lit(d).alias("shorter"), F.lit(i).alias("number"), F.lit(shift).alias("shift")) for d, i, shift in given])
+    rows = lines.select("*", F.explode(wanted).alias("w")).select("*", "w.*", (F.col("n") - F.col("w.shorter")).alias("other"))
+    start, size = segment(F.col("other"), F.col("number"), edits)
+    rows = rows.withColumn("begin", start + F.col("shift")).withColumn("size", size)
+    rows = rows.filter((F.col("begin") >= 1) & (F.col("begin") + F.col("size") - 1 <= F.col("n")) & (F.col("other") >= LEAST))
+    return rows.withColumn("key", F.xxhash64("other", "number", F.col("line").substr(F.col("begin"), F.col("size"))))
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of LETTERS modulo 256, a byte each."""
+    """Counts of LETTERS modulo 16, four bits each."""
     out = F.lit(0).cast("long")
     for k, letter in enumerate(LETTERS):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(n.cast("long").bitwiseAND(F.lit(255)), 8 * k))
+        out = out.bitwiseOR(F.shiftleft(n.cast("long").bitwiseAND(F.lit(15)), 4 * k))
     return out
 
 
@@ -82,9 +78,9 @@ def counts_within(a: Column, b: Column, edits: int = EDITS) -> Column:
     """Whether letter counts differ by at most twice the edits: an edit changes two counts by one at most."""
     total = F.lit(0).cast("long")
     for k in range(len(LETTERS)):
-        x, y = (F.shiftrightunsigned(v, 8 * k).bitwiseAND(F.lit(255)) for v in (a, b))
+        x, y = (F.shiftrightunsigned(v, 4 * k).bitwiseAND(F.lit(15)) for v in (a, b))
         gap = F.abs(x - y)
-        total = total + F.least(gap, F.lit(256) - gap)
+        total = total + F.least(gap, F.lit(16) - gap)
     return total <= 2 * edits
 
 
@@ -127,17 +123,15 @@ def edit_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
 
 
 def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """lines(h, line), distinct, of LEAST characters or more -> (a, b): the hashes of each pair of linked lines, once."""
+    """lines(h, line, counts), distinct, of LEAST characters or more, with their letter counts -> (a, b): the hashes of each pair of linked lines, once."""
     # the length is a column of its own, so that it is counted once a line
     lines = lines.withColumn("n", F.length("line"))
-    index, probe = keys(F.col("line"), F.col("n"), edits)
-    given = lines.select("h", letter_counts(F.col("line")).alias("counts"), index.alias("index"), probe.alias("probe"))
-    left = given.select(F.posexplode("probe").alias("at", "key"), F.col("h").alias("a"), F.col("counts").alias("a_counts")).filter("key is not null")
-    # probes of equal length come first; the top byte marks them
-    equal = F.when(F.col("at") < probes_of_equal_length(edits), F.lit(1 << 56)).otherwise(F.lit(0))
-    left = left.select("key", "a", F.col("a_counts").bitwiseOR(equal).alias("a_counts"))
-    right = given.select(F.explode("index").alias("key"), F.col("h").alias("b"), F.col("counts").alias("b_counts"))
-    once = (F.col("a_counts") < (1 << 56)) | (F.col("a") < F.col("b"))
+    given = lines.select("h", "line", "n", "counts")
+    # the top bit of a probe's counts marks lines of equal length, of which one probes the other
+    equal = F.when(F.col("shorter") == 0, F.lit(1 << 62)).otherwise(F.lit(0))
+    left = keyed(given, probes(edits), edits).select("key", F.col("h").alias("a"), F.col("counts").bitwiseOR(equal).alias("a_counts"))
+    right = keyed(given, [(0, i, 0) for i in range(edits + 1)], edits).select("key", F.col("h").alias("b"), F.col("counts").alias("b_counts"))
+    once = (F.col("a_counts") < (1 << 62)) | (F.col("a") < F.col("b"))
     met = left.join(right, (left["key"] == right["key"]) & once & counts_within(F.col("a_counts"), F.col("b_counts"), edits))
     pairs = met.select("a", "b").distinct()
     lines = lines.drop("n")
@@ -154,18 +148,19 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     long = F.length("line") >= least
     # an excluded line is a class of its own: its hash is that of its place
     h = F.when(long, F.xxhash64("line")).otherwise(F.xxhash64("doc_id", "th", "place"))
-    lines = exploded.filter(long).groupBy(F.xxhash64("line").alias("h")).agg(F.first("line").alias("line"))
+    counted = exploded.filter(long).select(F.xxhash64("line").alias("h"), "line", letter_counts(F.col("line")).alias("counts"))
+    # one value, so that the exchange of the texts is the same wherever it is used
+    whole = counted.groupBy("h").agg(F.first(F.struct("line", "counts")).alias("v"))
+    lines = whole.select("h", "v.line", "v.counts")
     found = durable(links(lines, edits))
     both = found.select(F.col("a").alias("h")).union(found.select(F.col("b").alias("h")))
     degree = both.groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
-    roots = components(found).select(F.col("node").alias("h"), "root").join(degree, "h")
+    linked = durable(components(found).select(F.col("node").alias("h"), "root").join(degree, "h"))
+    few = linked.limit(FEW_LINKED + 1).count() <= FEW_LINKED
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", F.col("place").cast("long").alias("line"))
     at = exploded.select(h.alias("h"), place.alias("at"))
-    first = at.groupBy("h").agg(F.min("at").alias("first")).join(roots, "h", "left")
-    first = durable(first.select("h", F.coalesce("root", "h").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "first"))
-    # classes of one text need no second look
-    linked = first.filter("n_links > 0")
-    best = linked.groupBy("root").agg(F.min("first").alias("best"))
-    known = first.filter("n_links = 0").select("h", "n_links", "first").union(linked.join(best, "root").select("h", "n_links", "best"))
-    out = at.join(known, "h")
-    return out.select("at.doc_id", "at.line", "n_links", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"), (F.col("at") == F.col("first")).alias("kept"))
+    best = at.join(F.broadcast(linked) if few else linked, "h").groupBy("root").agg(F.min("at").alias("best"))
+    known = durable(linked.join(best, "root").select("h", "n_links", "best"))
+    out = at.join(at.groupBy("h").agg(F.min("at").alias("first")), "h").join(F.broadcast(known) if few else known, "h", "left")
+    first = F.coalesce("best", "first")
+    return out.select("at.doc_id", "at.line", F.coalesce("n_links", F.lit(0)).alias("n_links"), first["doc_id"].alias("first_doc_id"), first["line"].alias("first_line"), (F.col("at") == first).alias("kept"))

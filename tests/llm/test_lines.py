@@ -45,7 +45,7 @@ def test_links_match_brute_force(spark):
         s = "".join(rnd.choice("ab é漢") for _ in range(rnd.randrange(16, 60)))
         texts |= {edited(rnd, s, rnd.randrange(4)) for _ in range(8)}
     texts = sorted(t for t in texts if len(t) >= 16)
-    frame = spark.createDataFrame(list(enumerate(texts)), "h long, line string")
+    frame = spark.createDataFrame(list(enumerate(texts)), "h long, line string").withColumn("counts", lines.letter_counts(F.col("line")))
     got = {tuple(sorted((r.a, r.b))) for r in lines.links(frame).collect()}
     want = {(i, j) for j in range(len(texts)) for i in range(j) if abs(len(texts[i]) - len(texts[j])) < 3 and distance(texts[i], texts[j]) <= 2}
     assert len(want) > 100 and got == want
