@@ -134,10 +134,11 @@ def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     once = (F.col("a_counts") < (1 << 62)) | (F.col("a") < F.col("b"))
     met = left.join(right, (left["key"] == right["key"]) & once & counts_within(F.col("a_counts"), F.col("b_counts"), edits))
     pairs = met.select("a", "b").distinct()
-    lines = lines.drop("n")
-    a = lines.select(F.col("h").alias("a"), F.col("line").alias("a_line"))
-    b = lines.select(F.col("h").alias("b"), F.col("line").alias("b_line"))
-    return pairs.join(a, "a").join(b, "b").filter(edit_distance_within(F.col("a_line"), F.col("b_line"), edits)).select("a", "b")
+    # whatever else a line has is returned for both
+    more = [c for c in lines.columns if c not in ("h", "line", "counts", "n")]
+    a, b = (lines.select(F.col("h").alias(x), F.col("line").alias(f"{x}_line"), *[F.col(c).alias(f"{x}_{c}") for c in more]) for x in ("a", "b"))
+    near = edit_distance_within(F.col("a_line"), F.col("b_line"), edits)
+    return pairs.join(a, "a").join(b, "b").filter(near).select("a", "b", *[f"{x}_{c}" for x in ("a", "b") for c in more])
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
@@ -148,18 +149,19 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     long = F.length("line") >= least
     # an excluded line is a class of its own: its hash is that of its place
     h = F.when(long, F.xxhash64("line")).otherwise(F.xxhash64("doc_id", "th", "place"))
-    counted = exploded.filter(long).select(F.xxhash64("line").alias("h"), "line", letter_counts(F.col("line")).alias("counts"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", F.col("place").cast("long").alias("line"))
+    counted = exploded.filter(long).select(F.xxhash64("line").alias("h"), "line", letter_counts(F.col("line")).alias("counts"), place.alias("at"))
     # one value, so that the exchange of the texts is the same wherever it is used
-    whole = counted.groupBy("h").agg(F.first(F.struct("line", "counts")).alias("v"))
-    lines = whole.select("h", "v.line", "v.counts")
+    whole = counted.groupBy("h").agg(F.min(F.struct("at", "line", "counts")).alias("v"))
+    lines = whole.select("h", "v.line", "v.counts", "v.at")
     found = durable(links(lines, edits))
     both = found.select(F.col("a").alias("h")).union(found.select(F.col("b").alias("h")))
     degree = both.groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = durable(components(found).select(F.col("node").alias("h"), "root").join(degree, "h"))
+    linked = durable(components(found.select("a", "b")).select(F.col("node").alias("h"), "root").join(degree, "h"))
     few = linked.limit(FEW_LINKED + 1).count() <= FEW_LINKED
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", F.col("place").cast("long").alias("line"))
     at = exploded.select(h.alias("h"), place.alias("at"))
-    best = at.join(F.broadcast(linked) if few else linked, "h").groupBy("root").agg(F.min("at").alias("best"))
+    ends = found.select(F.col("a").alias("h"), F.col("a_at").alias("at")).union(found.select("b", "b_at"))
+    best = ends.groupBy("h").agg(F.min("at").alias("at")).join(linked, "h").groupBy("root").agg(F.min("at").alias("best"))
     known = durable(linked.join(best, "root").select("h", "n_links", "best"))
     out = at.join(at.groupBy("h").agg(F.min("at").alias("first")), "h").join(F.broadcast(known) if few else known, "h", "left")
     first = F.coalesce("best", "first")
