@@ -183,7 +183,11 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius:
     """
     narrow = docs.select("text", "doc_id", F.xxhash64("text").alias("th")).mapInArrow(_prints(shingle, seed), "doc_id long, th long, fp long")
     rows = durable(narrow.groupBy("doc_id", "th", "fp").agg(F.count(F.lit(1)).alias("n")))
-    at = rows.join(classes(rows, radius).select("fp", "root"), "fp")
+    return first_of_each(docs, rows.join(classes(rows, radius).select("fp", "root"), "fp"))
+
+
+def first_of_each(docs: DataFrame, at: DataFrame) -> DataFrame:
+    """docs with one row of each root; at(doc_id, th, n, root): the n rows of a doc_id and hash of the text, and their class."""
     best = F.min_by(F.struct("doc_id", "th", "n"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th")))
     kept = at.groupBy("root").agg(best.alias("k")).select(F.col("k.doc_id").alias("_k_id"), F.col("k.th").alias("_k_th"), F.col("k.n").alias("_k_n"))
     row = F.col("_row")
