@@ -11,7 +11,8 @@ shingles themselves, over the whole document: the share of the item's distinct s
 The items travel to the executors in blocks of at most BLOCK_BYTES of text, one pass over the documents for each block.
 
 Defined cases: letters A-Z are lower-cased, words are space-joined; a text of fewer than five words is one shingle, so
-a short item is found only in a document that equals it; texts that are null or without words match nothing; repeated
+a short item is found only in a document that equals it, unless `inside` is set (the pipeline does), by which an item of
+fewer than five words is compared with all the document's windows of as many words; texts that are null or without words match nothing; repeated
 rows give repeated results; null ids are carried; an empty table on either side gives an empty result; other columns
 are ignored by `search` and carried by `drop_contaminated`.
 """
@@ -68,13 +69,20 @@ def single(hashes: np.ndarray) -> np.ndarray:
 class Items:
     """A block of items: their exact shingles and, by size class, a table from signature entries to items."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], inside: bool = False):
         sets = shingle_sets(texts)
         self.ids = [i for i, s in zip(ids, sets, strict=True) if s]
         self.sets = [s for s in sets if s]
         self.classes = []
         by_size: dict[int, list[int]] = {}
+        #: By number of words, the hashes of items shorter than a shingle and the items' numbers, if these are looked for inside documents.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        by_words: dict[int, list[int]] = {}
         for n, s in enumerate(self.sets):
+            words = min(s).count(b" ") + 1
+            if inside and words < SHINGLE:
+                by_words.setdefault(words, []).append(n)
+                continue
             size = 1 if len(s) <= FEW else min(max(LEAST_WINDOW, 1 << (len(s) - 1).bit_length()), MOST_WINDOW)
             by_size.setdefault(size, []).append(n)
         for window, members in sorted(by_size.items()):
@@ -100,6 +108,28 @@ class Items:
             maybe[entry & np.uint64((1 << 20) - 1)] = True
             self.classes.append((window, entry[order], owner[order], maybe))
 
+        for words, members in by_words.items():
+            spans = [min(self.sets[n]) for n in members]
+            ends = np.cumsum([len(x) for x in spans])
+            hashes = span_hashes(np.frombuffer(b"".join(spans), np.uint8), ends - [len(x) for x in spans], ends)
+            order = np.argsort(hashes, kind="stable")
+            self.short[words] = hashes[order], np.array(members)[order]
+
+    def inside(self, words: Words) -> set[tuple[int, int]]:
+        """(document, item) pairs of the items of `short` and the documents that hold them."""
+        out: set[tuple[int, int]] = set()
+        for size, (entry, owner) in self.short.items():
+            starts, ends, first = words.shingles(size)
+            hashes = span_hashes(words.data, starts, ends)
+            hit = np.flatnonzero(np.isin(hashes, entry))
+            doc = np.searchsorted(first, hit, "right") - 1
+            _, once = np.unique(np.stack([doc.astype(np.uint64), hashes[hit]]), axis=1, return_index=True)
+            for h, d in zip(hit[once].tolist(), doc[once].tolist(), strict=True):
+                text = words.data[starts[h] : ends[h]].tobytes()
+                a, b = np.searchsorted(entry, hashes[h], "left"), np.searchsorted(entry, hashes[h], "right")
+                out.update((d, int(n)) for n in owner[a:b] if text in self.sets[n])
+        return out
+
     def candidates(self, hashes: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
         """(document, item) pairs that agree in a bin of a window; documents' hashes run from first[i] to first[i + 1]."""
         out: set[tuple[int, int]] = set()
@@ -155,10 +185,11 @@ def found(items: Items, texts: pa.Array) -> list[tuple[int, int, int]]:
             shared = len(items.sets[n] & has)
             if shared >= THRESHOLD * len(items.sets[n]):
                 out.append((d, n, shared))
+    out += [(d, n, 1) for d, n in sorted(items.inside(words))]
     return out
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[Items]:
+def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES, inside: bool = False) -> Iterator[Items]:
     """The items, as often as needed, in blocks of about `limit` bytes."""
     rows = benchmark.select("item_id", "text").filter("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -166,7 +197,7 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[Items]:
     for k in range(n):
         part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
         table = part.toArrow()
-        block = Items(table.column("item_id").to_pylist(), table.column("text").to_pylist())
+        block = Items(table.column("item_id").to_pylist(), table.column("text").to_pylist(), inside)
         if block.ids:
             yield block
 
@@ -195,10 +226,10 @@ def search(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES) -> D
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
-    """docs without those that hold an item. One pass a block, no shuffle."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES, inside: bool = False) -> DataFrame:
+    """docs without those that hold an item, items of fewer than five words included if `inside`. One pass a block, no shuffle."""
     at = docs.columns.index("text")
-    for items in blocks(benchmark, limit):
+    for items in blocks(benchmark, limit, inside):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
