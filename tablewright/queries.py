@@ -151,7 +151,7 @@ q("pivot_wide", "SELECT o_orderstatus, sum(o_totalprice) FILTER (o_orderpriority
 q("unpivot_long", "SELECT s_suppkey, 's_name' AS name, s_name AS value FROM supplier UNION ALL SELECT s_suppkey, 's_nationkey', CAST(s_nationkey AS VARCHAR) FROM supplier", lambda t: reshape.unpivot(t.supplier.select("s_suppkey", "s_name", "s_nationkey"), "s_name,s_nationkey"))
 q("complete_integers", "WITH k AS (SELECT unnest(generate_series((SELECT min(s_nationkey) FROM supplier), (SELECT max(s_nationkey) FROM supplier)))::INT AS s_nationkey) SELECT k.s_nationkey, s.s_suppkey FROM k LEFT JOIN supplier s USING (s_nationkey)", lambda t: reshape.complete(t.supplier.select("s_nationkey", "s_suppkey"), "s_nationkey"))
 q("complete_days", "WITH d AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_id % 5 = 0), k AS (SELECT strftime(unnest(generate_series((SELECT min(day)::DATE FROM d), (SELECT max(day)::DATE FROM d), INTERVAL 1 DAY)), '%Y-%m-%d') AS day) SELECT day FROM k",
-  lambda t: reshape.complete(t.events.filter("event_id % 5 = 0").select(F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct(), "day", unit="day"))
+  lambda t: reshape.complete(t.events.select(F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct(), "day", unit="day"))
 q("cat_union", "SELECT n_nationkey, n_name, NULL AS r_name FROM nation UNION ALL SELECT NULL, NULL, r_name FROM region", lambda t: reshape.cat_rows(t.nation.select("n_nationkey", "n_name"), t.region.select("r_name"), how="union"))
 q("cat_columns", "SELECT n_name, s_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation) JOIN (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier) USING (k)", lambda t: reshape.cat_columns(t.nation, t.supplier, "n_nationkey", "s_suppkey").select("n_name", "s_name"))
 q("merge_unique", "SELECT DISTINCT n_name AS name FROM nation UNION SELECT r_name FROM region", lambda t: reshape.merge(t.nation.select(F.col("n_name").alias("name")), t.region.select(F.col("r_name").alias("name")), t.region.select(F.col("r_name").alias("name")), key="name", unique=True))
