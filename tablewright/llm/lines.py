@@ -8,7 +8,8 @@ one number, differ by no more than edits can explain. They are verified by a bit
 2 x EDITS + 1 diagonals: one word for each number of edits, a bit for each diagonal.
 
 Lines are compared trimmed, with runs of white space as one space. Lines of fewer than LEAST characters are not compared:
-each stays, as a class of its own.
+each stays, as a class of its own. With `whole`, exact copies of lines of every length but 0 are a class, and a pair within
+EDITS edits links if the longer line has LEAST characters, however short the other.
 
 Distinct lines are told apart by a 64-bit hash. Of n distinct lines about n ** 2 / 2 ** 65 pairs would be taken for equal.
 
@@ -52,7 +53,7 @@ def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
     return [(d, i, shift) for d in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
 
 
-def keyed(lines: DataFrame, given: list[tuple[int, int, int]], edits: int = EDITS) -> DataFrame:
+def keyed(lines: DataFrame, given: list[tuple[int, int, int]], edits: int = EDITS, shortest: int = LEAST) -> DataFrame:
     """lines(.., line, n) with a row for each of (shorter, segment, shift): `shorter` and the key of that substring.
 
     The constants are exploded, so that the key is one small expression and not one for each of them.
@@ -61,7 +62,7 @@ def keyed(lines: DataFrame, given: list[tuple[int, int, int]], edits: int = EDIT
     rows = lines.select("*", F.explode(wanted).alias("w")).select("*", "w.*", (F.col("n") - F.col("w.shorter")).alias("other"))
     start, size = segment(F.col("other"), F.col("number"), edits)
     rows = rows.withColumn("begin", start + F.col("shift")).withColumn("size", size)
-    rows = rows.filter((F.col("begin") >= 1) & (F.col("begin") + F.col("size") - 1 <= F.col("n")) & (F.col("other") >= LEAST))
+    rows = rows.filter((F.col("begin") >= 1) & (F.col("begin") + F.col("size") - 1 <= F.col("n")) & (F.col("other") >= shortest))
     return rows.withColumn("key", F.xxhash64("other", "number", F.col("line").substr(F.col("begin"), F.col("size"))))
 
 
@@ -122,15 +123,19 @@ def edit_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.when(F.abs(gap) <= edits, accepted).otherwise(F.lit(False))
 
 
-def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """lines(h, line, counts), distinct, of LEAST characters or more, with their letter counts -> (a, b): the hashes of each pair of linked lines, once."""
+def links(lines: DataFrame, edits: int = EDITS, shortest: int = LEAST, least: int = LEAST) -> DataFrame:
+    """lines(h, line, counts), distinct, of `shortest` characters or more, with their letter counts -> (a, b): the hashes of each pair of linked lines, once.
+
+    The longer line of a pair, or both, has `least` characters or more.
+    """
     # the length is a column of its own, so that it is counted once a line
     lines = lines.withColumn("n", F.length("line"))
     given = lines.select("h", "line", "n", "counts")
     # the top bit of a probe's counts marks lines of equal length, of which one probes the other
     equal = F.when(F.col("shorter") == 0, F.lit(1 << 62)).otherwise(F.lit(0))
-    left = keyed(given, probes(edits), edits).select("key", F.col("h").alias("a"), F.col("counts").bitwiseOR(equal).alias("a_counts"))
-    right = keyed(given, [(0, i, 0) for i in range(edits + 1)], edits).select("key", F.col("h").alias("b"), F.col("counts").alias("b_counts"))
+    probing = given.filter(F.col("n") >= least) if shortest < least else given
+    left = keyed(probing, probes(edits), edits, shortest).select("key", F.col("h").alias("a"), F.col("counts").bitwiseOR(equal).alias("a_counts"))
+    right = keyed(given, [(0, i, 0) for i in range(edits + 1)], edits, shortest).select("key", F.col("h").alias("b"), F.col("counts").alias("b_counts"))
     once = (F.col("a_counts") < (1 << 62)) | (F.col("a") < F.col("b"))
     met = left.join(right, (left["key"] == right["key"]) & once & counts_within(F.col("a_counts"), F.col("b_counts"), edits))
     pairs = met.select("a", "b").distinct()
@@ -141,20 +146,21 @@ def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(near).select("a", "b", *[f"{x}_{c}" for x in ("a", "b") for c in more])
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, whole: bool = False) -> DataFrame:
     """One row a line: doc_id, line (from 0), n_links (other texts linked), first_doc_id and first_line of its class, kept."""
     text = F.col("text")
     exploded = docs.select("doc_id", F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("place", "raw"))
     exploded = exploded.select("doc_id", "th", "place", normal(F.col("raw")).alias("line"))
-    long = F.length("line") >= least
+    shortest = max(1, least - edits) if whole else least
+    long = F.length("line") >= shortest
     # an excluded line is a class of its own: its hash is that of its place
-    h = F.when(long, F.xxhash64("line")).otherwise(F.xxhash64("doc_id", "th", "place"))
+    h = F.when(F.length("line") > 0 if whole else long, F.xxhash64("line")).otherwise(F.xxhash64("doc_id", "th", "place"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", F.col("place").cast("long").alias("line"))
     counted = exploded.filter(long).select(F.xxhash64("line").alias("h"), "line", letter_counts(F.col("line")).alias("counts"), place.alias("at"))
     # one value, so that the exchange of the texts is the same wherever it is used
     whole = counted.groupBy("h").agg(F.min(F.struct("at", "line", "counts")).alias("v"))
     lines = whole.select("h", "v.line", "v.counts", "v.at")
-    found = durable(links(lines, edits))
+    found = durable(links(lines, edits, shortest, least) if whole else links(lines, edits))
     both = found.select(F.col("a").alias("h")).union(found.select(F.col("b").alias("h")))
     degree = both.groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
     linked = durable(components(found.select("a", "b")).select(F.col("node").alias("h"), "root").join(degree, "h"))

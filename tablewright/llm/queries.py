@@ -71,6 +71,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_table(spark, sf_dir, "documents"), whole=True)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_cotraining": op1_quality_cotraining,
@@ -83,6 +87,7 @@ def queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_token_counts": op9_token_counts,
         "op10_line_dedup": op10_line_dedup,
+        "op10_line_dedup_whole": op10_line_dedup_whole,
     }
 
 
