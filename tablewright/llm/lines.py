@@ -1,69 +1,105 @@
 """Line dedup by a segment-partition edit join. DataFrame functions only.
 
-Lines within EDITS edits of each other link; linked lines form classes, and a class's first line (by doc_id, then place)
-stays. A line is cut into EDITS + 1 segments, of which any line within EDITS edits holds at least one unchanged. Segments
-are indexed under the line's length and their number; a line probes, for each length it can match, the substrings at the
-positions that edits to their left and right allow. Meeting keys are candidates if counts of ten letters, packed into
-one number, differ by no more than edits can explain. They are verified by a bit-parallel automaton over the band of
-2 x EDITS + 1 diagonals: one word for each number of edits, a bit for each diagonal.
-
-Lines are compared trimmed, with runs of white space as one space. Lines of fewer than LEAST characters are not compared:
-each stays, as a class of its own. With `whole`, exact copies of lines of every length but 0 are a class, and a pair within
-EDITS edits links if the longer line has LEAST characters, however short the other.
+Lines within some edits of each other link; linked lines form classes, and a class's first line (by doc_id, then place)
+stays. How many edits are allowed depends on the length of the longer line (RULE), so that short lines link with exact copies
+only. Lines are compared trimmed, with runs of white space as one space.
+
+A line is cut into one segment more than the edits allowed, of which any line within them holds at least one unchanged.
+Segments are indexed under the line's length and their number; a line probes, for each length it can match, the
+substrings at the places that edits to their left and right allow. Lines that meet are candidates; short ones, whose
+segments meet by chance, only if counts of ten letters, packed into one number, differ by no more than edits can explain.
+Candidates are verified, without the characters they begin and end with in common, by a bit-parallel automaton over the band
+of 2 x MOST + 1 diagonals: one word for each number of edits, a bit for each diagonal.
+
+The texts are read once, into a table of lines in the shared folder; every later step reads only the columns of it that it
+needs, and texts of lines move only where they are candidates. Copies of a line probe like the line itself, unless there
+are more than COPIES of it: then its first place alone does. The places of the HOT most frequent lines, a third of all
+rows maybe, meet their class by a broadcast of bounded size; only lines that are rarer are shuffled by their hash.
 
 Distinct lines are told apart by a 64-bit hash. Of n distinct lines about n ** 2 / 2 ** 65 pairs would be taken for equal.
 
-Defined cases: a null text has no lines, an empty text one empty line; repeated rows hold repeated lines, whose tie for the
-first place one row with the smallest hash of its text wins, and rows equal in that too are all first; a null doc_id comes last;
-an empty table gives an empty result; other columns are ignored.
+Defined cases: a null text has no lines; a blank line is a class of its own and stays; repeated rows hold repeated lines, whose
+tie for the first place one row with the smallest hash of its text wins, and rows equal in that too are all first; a null
+doc_id comes last; a very long line is a line like any other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .durable import durable
+from .durable import durable, scratch
+
+#: Edits at most, and the length of the longer line from which one or two are allowed.
+MOST, RULE = 2, {1: 8, 2: 16}
+#: Copies of a line up to which each probes for itself.
+COPIES = 16
+#: A line is hot if more than one in HOT of all rows are copies of it, so there are fewer than HOT hot lines.
+HOT = 20_000
+#: Rows of hashes up to which a table is sent to all tasks; a larger one is joined by a shuffle.
+FEW = 200_000
+#: Letters that are counted in lines of fewer than LETTERED characters.
+LETTERS, LETTERED = "etaoinsrhd", 100
+WHITE = r"\s+"
 
-EDITS, LEAST = 2, 16
-#: Linked lines up to which their table, some 80 bytes a line, is sent to all tasks.
-FEW_LINKED = 200_000
-LETTERS = "etaoinsrhd"
+
+def few(table: DataFrame) -> DataFrame:
+    """A kept table, broadcast if it is small."""
+    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"\s+", " "))
+    # nearly all lines have single spaces only, which is found out faster without a pattern
+    odd = F.lit(False)
+    for white in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains(line, F.lit(white))
+    return F.trim(F.when(odd, F.regexp_replace(line, WHITE, " ")).otherwise(line))
+
+
+def allowed(length: Column, rule: dict[int, int] = RULE) -> Column:
+    """Edits allowed between a line of this length and one that isn't longer."""
+    out = F.lit(0)
+    for edits, least in sorted(rule.items()):
+        out = F.when(length >= least, F.lit(edits)).otherwise(out)
+    return out
 
 
-def segment(length: Column, number: Column, edits: int = EDITS) -> tuple[Column, Column]:
+def segment(length: Column, number: Column, edits: Column) -> tuple[Column, Column]:
     """(1-based start, length) of a segment of a line: lengths as even as can be, the longer ones last."""
     n = edits + 1
-    short = F.call_function("div", length, F.lit(n)).cast("int")
+    short = F.call_function("div", length, n).cast("int")
     shorter_ones = n - (length - short * n)
     start = 1 + short * number + F.greatest(F.lit(0), number - shorter_ones)
     return start.cast("int"), short + F.when(number >= shorter_ones, 1).otherwise(0)
 
 
-def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
-    """(how much shorter the other line is, segment, shift of its place) of all substrings that a line probes.
+def probes(edits: int) -> list[tuple[int, int, int, int]]:
+    """(edits, how much shorter the other line is, segment, shift of its place) of all substrings that a line probes.
 
     i edits at most are left of segment i and edits - i right of it, as an earlier or later segment matches otherwise.
     """
-    return [(d, i, shift) for d in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
+    return [(edits, d, i, shift) for d in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
 
 
-def keyed(lines: DataFrame, given: list[tuple[int, int, int]], edits: int = EDITS, shortest: int = LEAST) -> DataFrame:
-    """lines(.., line, n) with a row for each of (shorter, segment, shift): `shorter` and the key of that substring.
+def keyed(lines: DataFrame, given: list[tuple[int, int, int, int]]) -> DataFrame:
+    """lines(.., line, n) with a row for each of (edits, shorter, segment, shift): these and the key of that substring.
 
-    The constants are exploded, so that the key is one small expression and not one for each of them.
+    The constants are exploded, so that the key is one small expression and not one for each of them. A line of
+    one-byte characters is cut as bytes.
     """
-    wanted = F.array(*[F.struct(F.lit(d).alias("shorter"), F.lit(i).alias("number"), F.lit(shift).alias("shift")) for d, i, shift in given])
-    rows = lines.select("*", F.explode(wanted).alias("w")).select("*", "w.*", (F.col("n") - F.col("w.shorter")).alias("other"))
-    start, size = segment(F.col("other"), F.col("number"), edits)
+    names = ("edits", "shorter", "number", "shift")
+    wanted = F.array(*[F.struct(*[F.lit(v).alias(name) for name, v in zip(names, g, strict=True)]) for g in given])
+    rows = lines.select("*", F.col("line").cast("binary").alias("bytes"), F.explode(wanted).alias("w")).select("*", "w.*")
+    rows = rows.withColumn("other", F.col("n") - F.col("shorter"))
+    start, size = segment(F.col("other"), F.col("number"), F.col("edits"))
     rows = rows.withColumn("begin", start + F.col("shift")).withColumn("size", size)
-    rows = rows.filter((F.col("begin") >= 1) & (F.col("begin") + F.col("size") - 1 <= F.col("n")) & (F.col("other") >= shortest))
-    return rows.withColumn("key", F.xxhash64("other", "number", F.col("line").substr(F.col("begin"), F.col("size"))))
+    rows = rows.filter((F.col("begin") >= 1) & (F.col("begin") + F.col("size") - 1 <= F.col("n")))
+    begin, size = F.col("begin"), F.col("size")
+    cut = F.when(F.octet_length("line") == F.col("n"), F.substring("bytes", begin, size)).otherwise(F.substring("line", begin, size).cast("binary"))
+    return rows.withColumn("key", F.xxhash64("edits", "other", "number", cut))
 
 
 def letter_counts(line: Column) -> Column:
@@ -75,34 +111,33 @@ def letter_counts(line: Column) -> Column:
     return out
 
 
-def counts_within(a: Column, b: Column, edits: int = EDITS) -> Column:
-    """Whether letter counts differ by at most twice the edits: an edit changes two counts by one at most."""
+def counts_within(a: Column, b: Column) -> Column:
+    """Whether letter counts differ by at most twice the edits: an edit changes two counts by one at most. Without counts, true."""
     total = F.lit(0).cast("long")
     for k in range(len(LETTERS)):
         x, y = (F.shiftrightunsigned(v, 4 * k).bitwiseAND(F.lit(15)) for v in (a, b))
         gap = F.abs(x - y)
         total = total + F.least(gap, F.lit(16) - gap)
-    return total <= 2 * edits
+    return a.isNull() | b.isNull() | (total <= 2 * MOST)
 
 
-def edit_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
-    """Whether a becomes b by at most `edits` (up to 2) insertions, deletions and substitutions of characters.
+def edit_distance_within(a: Column, b: Column, edits: Column | None = None) -> Column:
+    """Whether a becomes b by at most `edits` (up to MOST, which is the default) insertions, deletions and substitutions of characters.
 
-    Byte e of the state holds, as bit d + edits, whether the characters of a read so far can become the prefix of b that is
+    Byte e of the state holds, as bit d + MOST, whether the characters of a read so far can become the prefix of b that is
     d characters longer, with e edits; insertions are added when the state is read. A character moves all diagonals of the
     band and all numbers of edits at once. Characters are matched with the band's of b before, by shifted copies of b.
     """
-    if edits > 2:
-        raise ValueError("a state has room for 2 edits")
-    field, each = (1 << (2 * edits + 1)) - 1, range(edits + 1)
+    edits = F.lit(MOST) if edits is None else edits
+    field, each = (1 << (2 * MOST + 1)) - 1, range(MOST + 1)
     full, every = sum(field << 8 * e for e in each), sum(1 << 8 * e for e in each)
     xs, ys = F.split(a, ""), F.split(b, "")
-    shifted = [F.concat(F.array_repeat(F.lit(None).cast("string"), -d), ys) if d < 0 else F.slice(ys, d + 1, F.length(b)) for d in range(-edits, edits + 1)]
+    shifted = [F.concat(F.array_repeat(F.lit(None).cast("string"), -d), ys) if d < 0 else F.slice(ys, d + 1, F.length(b)) for d in range(-MOST, MOST + 1)]
     zipped = F.slice(F.arrays_zip(xs.alias("x"), *[y.alias(f"y{k}") for k, y in enumerate(shifted)]), 1, F.length(a))
 
     def matches(z: Column) -> Column:
         out = F.lit(0)
-        for k in range(2 * edits + 1):
+        for k in range(2 * MOST + 1):
             out = out.bitwiseOR(F.when(z[f"y{k}"] == z["x"], F.lit(every << k)).otherwise(F.lit(0)))
         return out
 
@@ -116,59 +151,107 @@ def edit_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
         c = closed(state)
         return c.bitwiseAND(same).bitwiseOR(F.shiftleft(c, 8).bitwiseOR(F.shiftleft(c, 7)).bitwiseAND(F.lit(full)))
 
-    start = F.lit(every << edits)
+    start = F.lit(every << MOST)
     last = F.when(F.length(a) > 0, F.aggregate(F.transform(zipped, matches), start, step)).otherwise(start)
     gap = F.length(b) - F.length(a)
-    accepted = F.call_function("shiftright", closed(last), gap + 9 * edits).bitwiseAND(F.lit(1)) == 1
+    accepted = F.call_function("shiftright", closed(last), (gap + MOST + 8 * edits).cast("int")).bitwiseAND(F.lit(1)) == 1
     return F.when(F.abs(gap) <= edits, accepted).otherwise(F.lit(False))
 
 
-def links(lines: DataFrame, edits: int = EDITS, shortest: int = LEAST, least: int = LEAST) -> DataFrame:
-    """lines(h, line, counts), distinct, of `shortest` characters or more, with their letter counts -> (a, b): the hashes of each pair of linked lines, once.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def without_common(pair: Column) -> Column:
+    """A struct (a, b) of texts without up to 2 ** 17 - 1 characters that both begin with, the rest reversed."""
+    a, b = pair["a"], pair["b"]
+
+    def longer(at: Column, step: Column) -> Column:
+        same = (at + step <= F.length(a)) & (F.substring(a, at + 1, step) == F.substring(b, at + 1, step))
+        return at + F.when(same, step).otherwise(F.lit(0))
+
+    common = F.aggregate(F.array(*[F.lit(1 << k) for k in range(16, -1, -1)]), F.lit(0), longer)
+    return let(common, lambda n: F.struct(*[F.reverse(F.substring(x, n + 1, F.length(x))).alias(name) for name, x in (("a", a), ("b", b))]))
+
 
-    The longer line of a pair, or both, has `least` characters or more.
+def near(a: Column, b: Column, rule: dict[int, int] = RULE) -> Column:
+    """Whether lines are within the edits allowed: what is left between common ends is compared."""
+    edits = allowed(F.greatest(F.length(a), F.length(b)), rule)
+
+    def inner(pair: Column) -> Column:
+        return let(without_common(pair), lambda rest: let(without_common(rest), lambda core: edit_distance_within(core["a"], core["b"], pair["edits"])))
+
+    return let(F.struct(a.alias("a"), b.alias("b"), edits.alias("edits")), inner)
+
+
+def links(lines: DataFrame, texts: DataFrame | None = None, rule: dict[int, int] = RULE) -> DataFrame:
+    """lines(h, line, n), the lines that probe -> (a, b), a < b: the hashes of each pair of linked lines, once.
+
+    The texts of candidates are looked up in `texts`(h, line), which may be a wider table; by default in lines.
     """
-    # the length is a column of its own, so that it is counted once a line
-    lines = lines.withColumn("n", F.length("line"))
-    given = lines.select("h", "line", "n", "counts")
-    # the top bit of a probe's counts marks lines of equal length, of which one probes the other
-    equal = F.when(F.col("shorter") == 0, F.lit(1 << 62)).otherwise(F.lit(0))
-    probing = given.filter(F.col("n") >= least) if shortest < least else given
-    left = keyed(probing, probes(edits), edits, shortest).select("key", F.col("h").alias("a"), F.col("counts").bitwiseOR(equal).alias("a_counts"))
-    right = keyed(given, [(0, i, 0) for i in range(edits + 1)], edits, shortest).select("key", F.col("h").alias("b"), F.col("counts").alias("b_counts"))
-    once = (F.col("a_counts") < (1 << 62)) | (F.col("a") < F.col("b"))
-    met = left.join(right, (left["key"] == right["key"]) & once & counts_within(F.col("a_counts"), F.col("b_counts"), edits))
-    pairs = met.select("a", "b").distinct()
-    # whatever else a line has is returned for both
-    more = [c for c in lines.columns if c not in ("h", "line", "counts", "n")]
-    a, b = (lines.select(F.col("h").alias(x), F.col("line").alias(f"{x}_line"), *[F.col(c).alias(f"{x}_{c}") for c in more]) for x in ("a", "b"))
-    near = edit_distance_within(F.col("a_line"), F.col("b_line"), edits)
-    return pairs.join(a, "a").join(b, "b").filter(near).select("a", "b", *[f"{x}_{c}" for x in ("a", "b") for c in more])
-
-
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, whole: bool = False) -> DataFrame:
-    """One row a line: doc_id, line (from 0), n_links (other texts linked), first_doc_id and first_line of its class, kept."""
+    texts = lines if texts is None else texts
+    given = lines.select("h", "line", "n", F.when(F.col("n") < LETTERED, letter_counts(F.col("line"))).alias("counts"))
+    # the rows of each number of edits, by the length of the longer line; an indexed line may be so much shorter
+    probing, indexed = F.lit(False), F.lit(False)
+    for e, least in rule.items():
+        below = F.col("n") < min((n for n in rule.values() if n > least), default=1 << 31)
+        probing = probing | ((F.col("edits") == e) & (F.col("n") >= least) & below)
+        indexed = indexed | ((F.col("edits") == e) & (F.col("n") >= least - e) & below)
+    left = keyed(given.filter(F.col("n") >= min(rule.values())), [p for e in rule for p in probes(e)]).filter(probing)
+    left = left.select("key", F.col("h").alias("a"), F.col("counts").alias("a_counts"))
+    right = keyed(given.filter(F.col("n") >= min(n - e for e, n in rule.items())), [(e, 0, i, 0) for e in rule for i in range(e + 1)]).filter(indexed)
+    right = right.select("key", F.col("h").alias("b"), F.col("counts").alias("b_counts"))
+    met = left.join(right, "key").filter((F.col("a") != F.col("b")) & counts_within(F.col("a_counts"), F.col("b_counts")))
+    pairs = durable(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
+    # copies of a line have one hash and text
+    known = texts.select("h", "line").join(few(ends), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    known = durable(known.withColumn("counts", letter_counts(F.col("line"))))
+    a, b = (known.select(F.col("h").alias(x), F.col("line").alias(f"{x}_line"), F.col("counts").alias(f"{x}_counts")) for x in ("a", "b"))
+    pairs = pairs.join(a, "a").join(b, "b").filter(counts_within(F.col("a_counts"), F.col("b_counts")))
+    return pairs.filter(near(F.col("a_line"), F.col("b_line"), rule)).select("a", "b")
+
+
+def table_of_lines(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) as lines in the shared folder: at (its place), h (null for a blank line), n (characters), line."""
     text = F.col("text")
     exploded = docs.select("doc_id", F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("place", "raw"))
-    exploded = exploded.select("doc_id", "th", "place", normal(F.col("raw")).alias("line"))
-    shortest = max(1, least - edits) if whole else least
-    long = F.length("line") >= shortest
-    # an excluded line is a class of its own: its hash is that of its place
-    h = F.when(F.length("line") > 0 if whole else long, F.xxhash64("line")).otherwise(F.xxhash64("doc_id", "th", "place"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", F.col("place").cast("long").alias("line"))
-    counted = exploded.filter(long).select(F.xxhash64("line").alias("h"), "line", letter_counts(F.col("line")).alias("counts"), place.alias("at"))
-    # one value, so that the exchange of the texts is the same wherever it is used
-    whole = counted.groupBy("h").agg(F.min(F.struct("at", "line", "counts")).alias("v"))
-    lines = whole.select("h", "v.line", "v.counts", "v.at")
-    found = durable(links(lines, edits, shortest, least) if whole else links(lines, edits))
-    both = found.select(F.col("a").alias("h")).union(found.select(F.col("b").alias("h")))
-    degree = both.groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = durable(components(found.select("a", "b")).select(F.col("node").alias("h"), "root").join(degree, "h"))
-    few = linked.limit(FEW_LINKED + 1).count() <= FEW_LINKED
-    at = exploded.select(h.alias("h"), place.alias("at"))
-    ends = found.select(F.col("a").alias("h"), F.col("a_at").alias("at")).union(found.select("b", "b_at"))
-    best = ends.groupBy("h").agg(F.min("at").alias("at")).join(linked, "h").groupBy("root").agg(F.min("at").alias("best"))
+    exploded = exploded.select("doc_id", "th", F.col("place").cast("long").alias("place"), normal(F.col("raw")).alias("line"))
+    out = exploded.select("doc_id", "th", "place", "line", F.length("line").alias("n"), F.xxhash64("line").alias("h"))
+    path = scratch(docs.sparkSession, "lines")
+    out.write.option("compression", "zstd").parquet(path)
+    out = docs.sparkSession.read.schema(out.schema).parquet(path)
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", F.col("place").alias("line"))
+    return out.select(at.alias("at"), F.when(F.col("n") > 0, F.col("h")).alias("h"), "n", "line")
+
+
+def dedup_lines(docs: DataFrame, rule: dict[int, int] = RULE) -> DataFrame:
+    """One row a line: doc_id, line (from 0), n_links (other texts linked), first_doc_id and first_line of its class, kept."""
+    lines = table_of_lines(docs)
+    written = lines.filter("h is not null")
+    total = written.count()
+    often = durable(written.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COPIES))
+    first = F.min("at").alias("first")
+    # of frequent lines the first place; copies are combined before the shuffle
+    firsts = durable(written.select("h", "at").join(few(often.select("h")), "h", "left_semi").groupBy("h").agg(first))
+    hot = durable(firsts.join(often.filter(F.col("n") * HOT > total), "h", "left_semi"))
+    only = F.col("first").isNull() | (F.col("first") == F.col("at"))
+    if firsts.limit(FEW + 1).count() <= FEW:
+        probing = written.join(F.broadcast(firsts), "h", "left").filter(only)
+    else:
+        rarer = written.join(F.broadcast(hot.select("h")), "h", "left_anti").join(firsts, "h", "left")
+        probing = rarer.unionByName(written.join(F.broadcast(hot), "h")).filter(only)
+    found = durable(links(probing.select("h", "line", "n"), written, rule))
+    degree = found.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = durable(components(found).select(F.col("node").alias("h"), "root").join(degree, "h"))
+    own = written.select("h", "at").join(few(linked.select("h")), "h", "left_semi").groupBy("h").agg(first)
+    best = own.join(linked, "h").groupBy("root").agg(F.min("first").alias("best"))
     known = durable(linked.join(best, "root").select("h", "n_links", "best"))
-    out = at.join(at.groupBy("h").agg(F.min("at").alias("first")), "h").join(F.broadcast(known) if few else known, "h", "left")
-    first = F.coalesce("best", "first")
-    return out.select("at.doc_id", "at.line", F.coalesce("n_links", F.lit(0)).alias("n_links"), first["doc_id"].alias("first_doc_id"), first["line"].alias("first_line"), (F.col("at") == first).alias("kept"))
+    hot = durable(hot.join(known, "h", "left"))
+    rarer = written.select("h", "at").join(F.broadcast(hot.select("h")), "h", "left_anti")
+    rarer = rarer.withColumn("first", F.min("at").over(Window.partitionBy("h"))).join(few(known), "h", "left")
+    out = rarer.unionByName(written.select("h", "at").join(F.broadcast(hot), "h")).select("at", F.coalesce("best", "first").alias("first"), "n_links")
+    blank = lines.filter("h is null").select("at", F.col("at").alias("first"), F.lit(0).cast("long").alias("n_links"))
+    out = out.unionByName(blank)
+    return out.select("at.doc_id", "at.line", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"), (F.col("at") == F.col("first")).alias("kept"))
