@@ -1,34 +1,5 @@
-"""Connected components of a graph of edges, by rounds of contraction."""
+"""Connected components of a graph of edges (a, b), in rounds that grow with the logarithm of the nodes."""
 
-from __future__ import annotations
+from ..operators.graph import connected as components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .durable import durable
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """edges(a, b) -> (node, root) for every node with an edge to another; root: the smallest node reachable.
-
-    In each round every node moves to its smallest neighbour or itself, and edges are redrawn between the places moved
-    to. At least half the nodes of each component vanish, so rounds grow with the logarithm of the nodes; the smallest
-    node of a component never moves, so it is the one that stays. Edges and moves are kept in the checkpoint folder.
-    """
-    edges = durable(edges.filter("a <> b").distinct())
-    moves = []
-    while not edges.isEmpty():
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        move = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("to")))
-        moves.append(move)
-        at_a = move.select(F.col("node").alias("a"), F.col("to").alias("to_a"))
-        at_b = move.select(F.col("node").alias("b"), F.col("to").alias("to_b"))
-        moved = edges.join(at_a, "a").join(at_b, "b").filter("to_a <> to_b")
-        edges = durable(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
-    if not moves:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    labels = moves.pop().select("node", F.col("to").alias("root"))
-    while moves:
-        later = labels.select(F.col("node").alias("to"), F.col("root"))
-        labels = moves.pop().join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-    return labels
+__all__ = ["components"]

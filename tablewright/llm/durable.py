@@ -1,39 +1,5 @@
-"""Shared storage: checkpoints and scratch folders that outlive any single executor."""
+"""Shared storage, as in the rest of the library."""
 
-from __future__ import annotations
+from ..storage import durable, few, remove, scratch, shared_root
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests on one machine) a temporary one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if root:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(root)
-        return root
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder: later reads neither recompute it nor depend on one executor."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["durable", "few", "remove", "scratch", "shared_root"]

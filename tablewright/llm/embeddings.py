@@ -13,7 +13,8 @@ of more than TILE are cut into tiles compared pair by pair. From a task come sum
 
 Defined cases: null label, null or empty vector, null, NaN or infinite components and the zero vector link with nothing;
 vectors of different lengths never link; repeated rows are vectors that link with each other; null ids are carried, and
-are no component's smallest id unless all are null; other columns are ignored.
+are no component's smallest id unless all are null; a cosine that double precision can't tell from the threshold links or not
+as it is rounded; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,14 +38,16 @@ COSINE = 0.98
 CODES, CAPS, LEAST_CAPS = 3, 8, 6
 #: Vectors in a filter, on average, that the size of the code aims at.
 LOAD = 16
-LEAST_CODE, MOST_CODE = 96, 8192
+LEAST_CODE = 96
+#: Numbers of a matrix that is made at a time, 16 MB: bounds the memory of a worker at every size of the code.
+CELLS = 1 << 21
 TILE = 256
 SEED = 7
 
 
 def code_size(rows: int) -> int:
     """Codewords a half: CAPS / size ** 2 is the share of all vectors in a filter."""
-    return int(min(MOST_CODE, max(LEAST_CODE, math.ceil(math.sqrt(CAPS * rows / LOAD)))))
+    return max(LEAST_CODE, math.ceil(math.sqrt(CAPS * rows / LOAD)))
 
 
 @lru_cache(maxsize=8)
@@ -78,17 +81,18 @@ def decode(vectors: np.ndarray, size: int) -> list[np.ndarray]:
         first, second, threshold = code(vectors.shape[1], size, number)
         n, m = first.shape[1], second.shape[1]
         most = min(LEAST_CAPS, max(1, n * m // 2))
-        for at in range(0, len(vectors), 1024):
-            part = vectors[at : at + 1024]
+        step = max(1, CELLS // max(n, m))
+        for at in range(0, len(vectors), step):
+            part = vectors[at : at + step]
             a, b = part @ first, part @ second
             # the best sums are of the best of either half
-            best_a, best_b = (-np.sort(-x, axis=1)[:, :most] for x in (a, b))
+            best_a, best_b = (np.partition(x, max(0, x.shape[1] - most), axis=1)[:, -most:] for x in (a, b))
             sums = (best_a[:, :, None] + best_b[:, None, :]).reshape(len(part), -1)
             enough = -np.partition(-sums, most - 1, axis=1)[:, most - 1]
             least = np.minimum(threshold, enough)
             row, i = np.nonzero(a >= (least - b.max(axis=1))[:, None] - 1e-12)
-            for low in range(0, len(row), 1 << 15):
-                r, w = row[low : low + (1 << 15)], i[low : low + (1 << 15)]
+            for low in range(0, len(row), step):
+                r, w = row[low : low + step], i[low : low + step]
                 k, j = np.nonzero(a[r, w][:, None] + b[r] >= least[r][:, None])
                 out.append(np.stack([r[k] + at, (number * n + w[k]) * m + j], axis=1))
     pairs = np.concatenate(out)
@@ -111,49 +115,58 @@ def _filtered(size: int):
                     piece = part.slice(at, 2048)
                     vectors = piece.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                     found = decode(_unit(vectors.reshape(-1, dim)), size)
-                    own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]), pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+                    own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]), pa.int32()), pa.array(np.concatenate(found), pa.int64()))
                     yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("cid", "label", "dim", "m", "embedding")), own], ["cid", "label", "dim", "m", "embedding", "filters"])
 
     return run
 
 
+def _shared(owners: np.ndarray, filters: np.ndarray, left: int, right: slice, n: int) -> np.ndarray:
+    """[left item, right item]: whether the two have one of the filters (of item owners[k]: filters[k]) in common."""
+    _, code = np.unique(filters, return_inverse=True)
+    out = np.zeros((left, right.stop - right.start), bool)
+    width = max(1, CELLS // max(1, n))
+    for low in range(0, int(code.max(initial=-1)) + 1, width):
+        here = (code >= low) & (code < low + width)
+        has = np.zeros((n, width), np.float32)
+        has[owners[here], code[here] - low] = 1
+        out |= has[:left] @ has[right].T > 0
+    return out
+
+
 def _compared(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n = [], [], []
             filters = batch.column("at").to_numpy()
             for at, row in enumerate(batch.column("tiles")):
-                tiles = row.as_py()
-                left, right = tiles[0], tiles[-1]
-                same = len(tiles) == 1
-                x, y = (_unit(np.array([v["embedding"] for v in t], np.float64)) for t in (left, right))
-                close = x @ y.T >= threshold
-                if same:
-                    close &= ~np.eye(len(left), dtype=bool)
+                tiles = [t.values for t in row.values]  # views of the batch, no Python numbers
+                items = pa.concat_arrays(tiles)
+                left, every = len(tiles[0]), len(items)
+                right = slice(left, every) if len(tiles) > 1 else slice(0, left)
+                cid, m = (items.field(c).to_numpy() for c in ("cid", "m"))
+                unit = _unit(items.field("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(every, -1))
+                close = unit[:left] @ unit[right].T >= threshold
+                if len(tiles) == 1:
+                    close &= ~np.eye(left, dtype=bool)
                 if not close.any():
                     continue
-                early = np.unique(np.concatenate([np.array(v["filters"]) for v in (left if same else left + right)]))
-                early = early[early < filters[at]]
-                place = {f: k for k, f in enumerate(early.tolist())}
-                has = []
-                for t in (left, right):
-                    m = np.zeros((len(t), len(early)), np.float32)
-                    for k, v in enumerate(t):
-                        m[k, [place[f] for f in v["filters"] if f in place]] = 1
-                    has.append(m)
-                close &= (has[0] @ has[1].T) == 0  # no earlier filter in common
-                ids = np.array([[v["cid"] for v in left], [v["m"] for v in left]], np.int64), np.array([[v["cid"] for v in right], [v["m"] for v in right]], np.int64)
-                sides = ((ids[0][0], close @ ids[1][1]),) if same else ((ids[0][0], close @ ids[1][1]), (ids[1][0], close.T @ ids[0][1]))
-                for cid, links in sides:
-                    a.append(cid[links > 0])
-                    b.append(cid[links > 0])
+                own = items.field("filters")
+                earlier, owners = own.flatten().to_numpy(), np.repeat(np.arange(every), own.value_lengths().to_numpy())
+                before = earlier < filters[at]
+                close &= ~_shared(owners[before], earlier[before], left, right, every)  # no earlier filter in common
+                sides = [(cid[:left], close @ m[right])]
+                if len(tiles) > 1:
+                    sides.append((cid[right], close.T @ m[:left]))
+                for ids, links in sides:
+                    a.append(ids[links > 0])
+                    b.append(ids[links > 0])
                     n.append(links[links > 0])
                 i, j = np.nonzero(close)
-                nodes = ids[0][0] if same else np.concatenate([ids[0][0], ids[1][0]])
-                root = forest(len(nodes), i, j if same else j + len(left))
-                moved = np.flatnonzero(root != np.arange(len(nodes)))
-                a.append(nodes[moved])
-                b.append(nodes[root[moved]])
+                root = forest(every, i, j + right.start)
+                moved = np.flatnonzero(root != np.arange(every))
+                a.append(cid[moved])
+                b.append(cid[root[moved]])
                 n.append(np.zeros(len(moved), np.int64))
             a, b, n = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b, n))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
@@ -172,8 +185,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE, tile: int = T
     classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")))
     kinds = dict(classes.dtypes)
     size = code_size(classes.count())
-    shape = f"cid long, label {kinds['label']}, dim int, m long, embedding {kinds['embedding']}, filters array<int>"
-    met = classes.select("cid", "label", "dim", "m", "embedding").mapInArrow(_filtered(size), shape)
+    shape = f"cid long, label {kinds['label']}, dim int, m long, embedding {kinds['embedding']}, filters array<long>"
+    met = durable(classes.select("cid", "label", "dim", "m", "embedding").mapInArrow(_filtered(size), shape))
     item = F.struct("cid", "m", "embedding", "filters").alias("item")
     met = met.select("label", "dim", F.explode("filters").alias("at"), item)
     pairs = tiled(met, ["label", "dim", "at"], "item", F.xxhash64("item.cid"), tile)

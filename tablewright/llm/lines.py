@@ -6,8 +6,9 @@ only. Lines are compared trimmed, with runs of white space as one space.
 
 A line is cut into one segment more than the edits allowed, of which any line within them holds at least one unchanged.
 Segments are indexed under the line's length and their number; a line probes, for each length it can match, the
-substrings at the places that edits to their left and right allow. Lines that meet are candidates; short ones, whose
-segments meet by chance, only if counts of ten letters, packed into one number, differ by no more than edits can explain.
+substrings at the places that edits to their left and right allow. Lines that meet are candidates if counts of
+ten letters, packed into one number, differ by no more than edits can explain; letters are counted only of lines with a key that
+meets another line's.
 Candidates are verified, without the characters they begin and end with in common, by a bit-parallel automaton over the band
 of 2 x MOST + 1 diagonals: one word for each number of edits, a bit for each diagonal.
 
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .durable import durable, scratch
+from .durable import durable, few, scratch
 
 #: Edits at most, and the length of the longer line from which one or two are allowed.
 MOST, RULE = 2, {1: 8, 2: 16}
@@ -41,16 +42,12 @@ COPIES = 16
 HOT = 20_000
 #: Rows of hashes up to which a table is sent to all tasks; a larger one is joined by a shuffle.
 FEW = 200_000
-#: Letters that are counted in lines of fewer than LETTERED characters.
-LETTERS, LETTERED = "etaoinsrhd", 100
+#: Indexed lines of a key that a task holds the probes of the key against.
+MET = 2048
+LETTERS = "etaoinsrhd"
 WHITE = r"\s+"
 
 
-def few(table: DataFrame) -> DataFrame:
-    """A kept table, broadcast if it is small."""
-    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
-
-
 def normal(line: Column) -> Column:
     # nearly all lines have single spaces only, which is found out faster without a pattern
     odd = F.lit(False)
@@ -112,13 +109,13 @@ def letter_counts(line: Column) -> Column:
 
 
 def counts_within(a: Column, b: Column) -> Column:
-    """Whether letter counts differ by at most twice the edits: an edit changes two counts by one at most. Without counts, true."""
+    """Whether letter counts differ by at most twice the edits: an edit changes two counts by one at most."""
     total = F.lit(0).cast("long")
     for k in range(len(LETTERS)):
         x, y = (F.shiftrightunsigned(v, 4 * k).bitwiseAND(F.lit(15)) for v in (a, b))
         gap = F.abs(x - y)
         total = total + F.least(gap, F.lit(16) - gap)
-    return a.isNull() | b.isNull() | (total <= 2 * MOST)
+    return total <= 2 * MOST
 
 
 def edit_distance_within(a: Column, b: Column, edits: Column | None = None) -> Column:
@@ -191,26 +188,39 @@ def links(lines: DataFrame, texts: DataFrame | None = None, rule: dict[int, int]
     The texts of candidates are looked up in `texts`(h, line), which may be a wider table; by default in lines.
     """
     texts = lines if texts is None else texts
-    given = lines.select("h", "line", "n", F.when(F.col("n") < LETTERED, letter_counts(F.col("line"))).alias("counts"))
     # the rows of each number of edits, by the length of the longer line; an indexed line may be so much shorter
     probing, indexed = F.lit(False), F.lit(False)
     for e, least in rule.items():
         below = F.col("n") < min((n for n in rule.values() if n > least), default=1 << 31)
         probing = probing | ((F.col("edits") == e) & (F.col("n") >= least) & below)
         indexed = indexed | ((F.col("edits") == e) & (F.col("n") >= least - e) & below)
-    left = keyed(given.filter(F.col("n") >= min(rule.values())), [p for e in rule for p in probes(e)]).filter(probing)
-    left = left.select("key", F.col("h").alias("a"), F.col("counts").alias("a_counts"))
-    right = keyed(given.filter(F.col("n") >= min(n - e for e, n in rule.items())), [(e, 0, i, 0) for e in rule for i in range(e + 1)]).filter(indexed)
-    right = right.select("key", F.col("h").alias("b"), F.col("counts").alias("b_counts"))
-    met = left.join(right, "key").filter((F.col("a") != F.col("b")) & counts_within(F.col("a_counts"), F.col("b_counts")))
-    pairs = durable(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
+    right = keyed(lines.filter(F.col("n") >= min(n - e for e, n in rule.items())), [(e, 0, i, 0) for e in rule for i in range(e + 1)]).filter(indexed)
+    right = stored(right.select("key", F.col("h").alias("b")), "index")
+    left = keyed(lines.filter(F.col("n") >= min(rule.values())), [p for e in rule for p in probes(e)]).filter(probing)
+    # first which keys meet at all, a row for each probe; then the letters of the few lines that have such keys
+    left = durable(left.select("key", F.col("h").alias("a")).join(right, (left["key"] == right["key"]) & (F.col("a") != F.col("b")), "left_semi"))
+    right = durable(right.join(few(durable(left.select("key").distinct()), FEW), "key", "left_semi"))
+    ends = durable(left.select(F.col("a").alias("h")).union(right.select("b")).distinct())
     # copies of a line have one hash and text
-    known = texts.select("h", "line").join(few(ends), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    known = texts.select("h", "line").join(few(ends, FEW), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
     known = durable(known.withColumn("counts", letter_counts(F.col("line"))))
-    a, b = (known.select(F.col("h").alias(x), F.col("line").alias(f"{x}_line"), F.col("counts").alias(f"{x}_counts")) for x in ("a", "b"))
-    pairs = pairs.join(a, "a").join(b, "b").filter(counts_within(F.col("a_counts"), F.col("b_counts")))
-    return pairs.filter(near(F.col("a_line"), F.col("b_line"), rule)).select("a", "b")
+    a, b = (known.select(F.col("h").alias(x), F.col("counts").alias(f"{x}_counts")) for x in ("a", "b"))
+    # a key of very many lines is dealt to several tasks: a part of its probes each, all of its index
+    cuts = durable(right.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(MET))).alias("cuts")).filter("cuts > 1"))
+    part = F.coalesce("cuts", F.lit(1))
+    left = left.join(few(cuts, FEW), "key", "left").withColumn("part", F.pmod(F.xxhash64("a"), part)).join(a, "a")
+    right = right.join(few(cuts, FEW), "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), part - 1))).join(b, "b")
+    met = left.join(right, (left["key"] == right["key"]) & (left["part"] == right["part"]) & (F.col("a") != F.col("b")) & counts_within(F.col("a_counts"), F.col("b_counts")))
+    pairs = durable(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    a, b = (known.select(F.col("h").alias(x), F.col("line").alias(f"{x}_line")) for x in ("a", "b"))
+    return pairs.join(a, "a").join(b, "b").filter(near(F.col("a_line"), F.col("b_line"), rule)).select("a", "b")
+
+
+def stored(rows: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """rows, written as a table in the shared folder: later reads take the columns they need."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.option("compression", codec).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def table_of_lines(docs: DataFrame) -> DataFrame:
@@ -219,9 +229,7 @@ def table_of_lines(docs: DataFrame) -> DataFrame:
     exploded = docs.select("doc_id", F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("place", "raw"))
     exploded = exploded.select("doc_id", "th", F.col("place").cast("long").alias("place"), normal(F.col("raw")).alias("line"))
     out = exploded.select("doc_id", "th", "place", "line", F.length("line").alias("n"), F.xxhash64("line").alias("h"))
-    path = scratch(docs.sparkSession, "lines")
-    out.write.option("compression", "zstd").parquet(path)
-    out = docs.sparkSession.read.schema(out.schema).parquet(path)
+    out = stored(out, "lines")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", F.col("place").alias("line"))
     return out.select(at.alias("at"), F.when(F.col("n") > 0, F.col("h")).alias("h"), "n", "line")
 
@@ -234,7 +242,7 @@ def dedup_lines(docs: DataFrame, rule: dict[int, int] = RULE) -> DataFrame:
     often = durable(written.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COPIES))
     first = F.min("at").alias("first")
     # of frequent lines the first place; copies are combined before the shuffle
-    firsts = durable(written.select("h", "at").join(few(often.select("h")), "h", "left_semi").groupBy("h").agg(first))
+    firsts = durable(written.select("h", "at").join(few(often.select("h"), FEW), "h", "left_semi").groupBy("h").agg(first))
     hot = durable(firsts.join(often.filter(F.col("n") * HOT > total), "h", "left_semi"))
     only = F.col("first").isNull() | (F.col("first") == F.col("at"))
     if firsts.limit(FEW + 1).count() <= FEW:
@@ -245,12 +253,12 @@ def dedup_lines(docs: DataFrame, rule: dict[int, int] = RULE) -> DataFrame:
     found = durable(links(probing.select("h", "line", "n"), written, rule))
     degree = found.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
     linked = durable(components(found).select(F.col("node").alias("h"), "root").join(degree, "h"))
-    own = written.select("h", "at").join(few(linked.select("h")), "h", "left_semi").groupBy("h").agg(first)
+    own = written.select("h", "at").join(few(linked.select("h"), FEW), "h", "left_semi").groupBy("h").agg(first)
     best = own.join(linked, "h").groupBy("root").agg(F.min("first").alias("best"))
     known = durable(linked.join(best, "root").select("h", "n_links", "best"))
     hot = durable(hot.join(known, "h", "left"))
     rarer = written.select("h", "at").join(F.broadcast(hot.select("h")), "h", "left_anti")
-    rarer = rarer.withColumn("first", F.min("at").over(Window.partitionBy("h"))).join(few(known), "h", "left")
+    rarer = rarer.withColumn("first", F.min("at").over(Window.partitionBy("h"))).join(few(known, FEW), "h", "left")
     out = rarer.unionByName(written.select("h", "at").join(F.broadcast(hot), "h")).select("at", F.coalesce("best", "first").alias("first"), "n_links")
     blank = lines.filter("h is null").select("at", F.col("at").alias("first"), F.lit(0).cast("long").alias("n_links"))
     out = out.unionByName(blank)

@@ -114,17 +114,29 @@ t AS (
 r AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM t),
 c AS (
-  SELECT d.*, r.source_size, r.target, floor(ratio) AS whole, ratio - floor(ratio) AS chance,
-    target - floor(ratio) * source_size AS rest,
-    (u / (1 - u)) / ((ratio - floor(ratio)) / (1 - (ratio - floor(ratio)))) AS q
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+  SELECT source, source_size, target, floor(ratio) AS whole, target - floor(ratio) * source_size AS rest FROM r),
+h AS (
+  SELECT source, size, CAST(count(*) AS BIGINT) AS n FROM d WHERE size > 0 GROUP BY ALL),
+g AS (
+  SELECT h.source, size, (rest - coalesce(sum(size * n) OVER (PARTITION BY h.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) AS words,
+    sum(size * size * n) OVER (PARTITION BY h.source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE AS squares
+  FROM h JOIN c ON h.source IS NOT DISTINCT FROM c.source WHERE rest > 0),
+k AS (
+  SELECT source, coalesce(max(size) FILTER (words / squares * size < 1), 0) AS sure,
+    arg_max(words / squares, size) FILTER (words / squares * size < 1) AS rate,
+    arg_max(words, size) FILTER (words / squares * size < 1) AS words FROM g GROUP BY source),
 o AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+  SELECT d.*, c.source_size, c.target, c.whole, k.sure, k.words, rate * size AS p FROM d
+  JOIN c ON d.source IS NOT DISTINCT FROM c.source LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source),
+q AS (
+  SELECT *, CASE WHEN size > 0 AND size <= sure THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM o),
+z AS (
+  SELECT *, sum(size) FILTER (q IS NOT NULL) OVER (PARTITION BY source, q IS NULL ORDER BY q / (1 + q) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
     sum(size) OVER (PARTITION BY source, q / (1 + q)) AS tied
-  FROM c)
+  FROM q)
 SELECT doc_id, size, source_size, target,
-  CAST(size * (whole + CASE WHEN chance > 0 AND (upto <= rest OR (upto - tied < rest AND upto - rest < rest - (upto - tied))) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM o
+  CAST(size * (whole + CASE WHEN size > sure OR (q IS NOT NULL AND (upto <= words OR (upto - tied < words AND upto - words < words - (upto - tied)))) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM z
 """
 
 

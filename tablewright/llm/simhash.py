@@ -3,10 +3,11 @@
 A document's fingerprint has 64 bits, each set where it is set in over half of the XXH64 hashes of the document's
 word shingles. Fingerprints within a radius of differing bits link, and linked documents form classes.
 
-Equal fingerprints are compared once. Two within radius r agree on one of r + 1 bands, so only fingerprints that share
-a band's bits meet. Where they meet, one side is stored vertically: 64 fingerprints to a machine word, one word for
+Equal fingerprints are compared once. The bits are cut into r + 3 blocks. Two fingerprints within radius r agree on three of
+them at least, so only fingerprints that share the bits of three blocks meet (ten tables of some 38 bits for a radius of 2, so
+that fingerprints which are far apart hardly ever do). Where they meet, one side is stored vertically: 64 fingerprints to a machine word, one word for
 each bit. The distances of a whole word of fingerprints to another are added up by carry-save adders in two counter
-words and a mask of those beyond the radius; words in which all are beyond it are abandoned. Bands' buckets of more than
+words and a mask of those beyond the radius; words in which all are beyond it are abandoned. Buckets of more than
 TILE fingerprints are cut into tiles, and all pairs of tiles are compared, in tasks of their own. What leaves a task is
 a spanning forest of the links that it found, not the links.
 
@@ -18,6 +19,7 @@ other columns are ignored by `near_duplicates` and carried by `keep_one`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -140,8 +142,9 @@ def _compare(radius: int):
 
 def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """prints(fp), distinct -> edges (a, b) that connect just what pairs within the radius connect."""
-    cuts = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
-    masks = [((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    cuts = [round(64 * k / (radius + 3)) for k in range(radius + 4)]
+    blocks = [((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    masks = [a | b | c for a, b, c in combinations(blocks, 3)]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     band = F.array(*[F.struct(F.lit(i).cast("byte").alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)])
     met = prints.select("fp", F.explode(band).alias("k")).select("fp", "k.*")

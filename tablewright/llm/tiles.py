@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .durable import durable, few
+
 
 def tiled(met: DataFrame, keys: list[str], item: str, salt: Column, tile: int) -> DataFrame:
     """met(keys, item) -> (keys, tiles): for each group of at least two items either its one tile, or each pair of its tiles.
@@ -13,8 +15,8 @@ def tiled(met: DataFrame, keys: list[str], item: str, salt: Column, tile: int) -
     the two of a pair meets every pair of the group once. A pair's own tiles are paired with themselves, as one tile.
     Items are dealt to tiles by the hash `salt`; the groups' counts come from an aggregate with map-side sums.
     """
-    counts = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    met = met.join(counts, keys)
+    counts = durable(met.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+    met = met.join(few(counts), keys)
     cut = F.ceil(F.col("_n") / float(tile)).cast("int").alias("_cut")
     met = met.select(*keys, item, cut, F.pmod(salt, cut).cast("int").alias("_tile"))
     tiles = met.groupBy(*keys, "_cut", "_tile").agg(F.collect_list(item).alias("_items"))
