@@ -10,7 +10,8 @@ substrings at the places that edits to their left and right allow. Lines that me
 ten letters, packed into one number, differ by no more than edits can explain; letters are counted only of lines with a key that
 meets another line's.
 Candidates are verified, without the characters they begin and end with in common, by a bit-parallel automaton over the band
-of 2 x MOST + 1 diagonals: one word for each number of edits, a bit for each diagonal.
+of 2 x MOST + 1 diagonals: one word for each number of edits, a bit for each diagonal. The lines of a key are compared in tiles,
+within a row, so rows don't grow with the square of a group of near copies unless its lines do link with each other.
 
 The texts are read once, into a table of lines in the shared folder; every later step reads only the columns of it that it
 needs, and texts of lines move only where they are candidates. Copies of a line probe like the line itself, unless there
@@ -42,8 +43,8 @@ COPIES = 16
 HOT = 20_000
 #: Rows of hashes up to which a table is sent to all tasks; a larger one is joined by a shuffle.
 FEW = 200_000
-#: Indexed lines of a key that a task holds the probes of the key against.
-MET = 2048
+#: Lines of a tile, on average: those of one key that a row holds.
+TILE = 64
 LETTERS = "etaoinsrhd"
 WHITE = r"\s+"
 
@@ -118,24 +119,28 @@ def counts_within(a: Column, b: Column) -> Column:
     return total <= 2 * MOST
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def edit_distance_within(a: Column, b: Column, edits: Column | None = None) -> Column:
     """Whether a becomes b by at most `edits` (up to MOST, which is the default) insertions, deletions and substitutions of characters.
 
     Byte e of the state holds, as bit d + MOST, whether the characters of a read so far can become the prefix of b that is
     d characters longer, with e edits; insertions are added when the state is read. A character moves all diagonals of the
-    band and all numbers of edits at once. Characters are matched with the band's of b before, by shifted copies of b.
+    band and all numbers of edits at once. Once no bit is left, characters are passed over.
     """
     edits = F.lit(MOST) if edits is None else edits
     field, each = (1 << (2 * MOST + 1)) - 1, range(MOST + 1)
     full, every = sum(field << 8 * e for e in each), sum(1 << 8 * e for e in each)
-    xs, ys = F.split(a, ""), F.split(b, "")
-    shifted = [F.concat(F.array_repeat(F.lit(None).cast("string"), -d), ys) if d < 0 else F.slice(ys, d + 1, F.length(b)) for d in range(-MOST, MOST + 1)]
-    zipped = F.slice(F.arrays_zip(xs.alias("x"), *[y.alias(f"y{k}") for k, y in enumerate(shifted)]), 1, F.length(a))
+    start = F.lit(every << MOST)
 
-    def matches(z: Column) -> Column:
+    def matches(text: Column, i: Column) -> Column:
         out = F.lit(0)
         for k in range(2 * MOST + 1):
-            out = out.bitwiseOR(F.when(z[f"y{k}"] == z["x"], F.lit(every << k)).otherwise(F.lit(0)))
+            at = i + k - MOST
+            out = out.bitwiseOR(F.when((at >= 0) & (F.get(text["ys"], at) == F.get(text["xs"], i)), F.lit(every << k)).otherwise(F.lit(0)))
         return out
 
     def closed(state: Column) -> Column:
@@ -148,16 +153,14 @@ def edit_distance_within(a: Column, b: Column, edits: Column | None = None) -> C
         c = closed(state)
         return c.bitwiseAND(same).bitwiseOR(F.shiftleft(c, 8).bitwiseOR(F.shiftleft(c, 7)).bitwiseAND(F.lit(full)))
 
-    start = F.lit(every << MOST)
-    last = F.when(F.length(a) > 0, F.aggregate(F.transform(zipped, matches), start, step)).otherwise(start)
-    gap = F.length(b) - F.length(a)
-    accepted = F.call_function("shiftright", closed(last), (gap + MOST + 8 * edits).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return F.when(F.abs(gap) <= edits, accepted).otherwise(F.lit(False))
+    def accepted(text: Column) -> Column:
+        n, gap = text["n"], text["m"] - text["n"]
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        last = F.aggregate(places, start, lambda s, i: F.when(s == 0, s).otherwise(step(s, matches(text, i))))
+        return (F.abs(gap) <= text["edits"]) & (F.call_function("shiftright", closed(last), (gap + MOST + 8 * text["edits"]).cast("int")).bitwiseAND(F.lit(1)) == 1)
 
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often the body refers to it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    text = F.struct(F.split(a, "").alias("xs"), F.split(b, "").alias("ys"), F.length(a).alias("n"), F.length(b).alias("m"), edits.alias("edits"))
+    return let(text, accepted)
 
 
 def without_common(pair: Column) -> Column:
@@ -204,16 +207,23 @@ def links(lines: DataFrame, texts: DataFrame | None = None, rule: dict[int, int]
     # copies of a line have one hash and text
     known = texts.select("h", "line").join(few(ends, FEW), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
     known = durable(known.withColumn("counts", letter_counts(F.col("line"))))
-    a, b = (known.select(F.col("h").alias(x), F.col("counts").alias(f"{x}_counts")) for x in ("a", "b"))
-    # a key of very many lines is dealt to several tasks: a part of its probes each, all of its index
-    cuts = durable(right.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(MET))).alias("cuts")).filter("cuts > 1"))
-    part = F.coalesce("cuts", F.lit(1))
-    left = left.join(few(cuts, FEW), "key", "left").withColumn("part", F.pmod(F.xxhash64("a"), part)).join(a, "a")
-    right = right.join(few(cuts, FEW), "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), part - 1))).join(b, "b")
-    met = left.join(right, (left["key"] == right["key"]) & (left["part"] == right["part"]) & (F.col("a") != F.col("b")) & counts_within(F.col("a_counts"), F.col("b_counts")))
-    pairs = durable(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    a, b = (known.select(F.col("h").alias(x), F.col("line").alias(f"{x}_line")) for x in ("a", "b"))
-    return pairs.join(a, "a").join(b, "b").filter(near(F.col("a_line"), F.col("b_line"), rule)).select("a", "b")
+    # the lines of a key in tiles: a row for each pair of tiles, whose lines are compared within it, so that only links are rows
+    cuts = durable(right.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(left.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key"))
+
+    def tiles(rows: DataFrame, h: str, n: str) -> DataFrame:
+        tile = F.pmod(F.xxhash64(h), F.ceil(F.col(n) / F.lit(float(TILE))))
+        item = F.struct(F.col(h).alias("h"), F.col("counts"), F.col("line"))
+        held = rows.join(few(cuts, FEW), "key").join(known.withColumnRenamed("h", h), h)
+        return held.groupBy("key", tile.alias(f"{h}_tile")).agg(F.collect_list(item).alias(f"{h}_items"))
+
+    def linked(x: Column, y: Column) -> Column:
+        return (x["h"] != y["h"]) & counts_within(x["counts"], y["counts"]) & near(x["line"], y["line"], rule)
+
+    def links_of(x: Column) -> Column:
+        return F.transform(F.filter("b_items", lambda y: linked(x, y)), lambda y: F.struct(F.least(x["h"], y["h"]).alias("a"), F.greatest(x["h"], y["h"]).alias("b")))
+
+    met = tiles(left, "a", "m").join(tiles(right, "b", "n"), "key")
+    return met.select(F.explode(F.flatten(F.transform("a_items", links_of))).alias("l")).select("l.*").distinct()
 
 
 def stored(rows: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

@@ -59,11 +59,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    streams, eod = tokens.tokenized(_table(spark, sf_dir, "documents"))
-    path = scratch(spark, "tokens")
-    streams.write.option("compression", "zstd").parquet(path)
-    out = durable(tokens.scan(spark.read.parquet(path), eod).select("doc_id", "n_tokens"))
+    """The tokenizer's file is that of the session's setting tablewright.tokenizer, if it has one."""
+    path, ids_path = scratch(spark, "tokens"), scratch(spark, "token-ids")
+    ids, eod = tokens.write_flat(_table(spark, sf_dir, "documents"), path, spark.conf.get("tablewright.tokenizer", tokens.TOKENIZER))
+    ids.write.parquet(ids_path)
+    if spark.read.parquet(ids_path).isEmpty():
+        return spark.createDataFrame([], "doc_id long, n_tokens long")
+    out = durable(tokens.counts(tokens.scan(tokens.flat_blocks(spark, path), eod), spark.read.parquet(ids_path)))
     remove(spark, path)
+    remove(spark, ids_path)
     return out
 
 

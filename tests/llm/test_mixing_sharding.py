@@ -76,6 +76,44 @@ def test_shards(spark, docs_dir):
     assert sorted((r.size, r.text_crc32) for r in got) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, _ in rows)
 
 
+def test_shards_match_brute_force(spark, docs_dir):
+    """The highest of -1 / ln(u) over the shards; u from the 64-bit hash of (doc_id, shard, seed) that Spark's SQL gives."""
+    path, rows = docs_dir
+    ids = sorted({d for d, _, _ in rows if d is not None})
+    frame = spark.createDataFrame([(d, i) for d in ids for i in range(9)], "d long, i int")
+    u = {(r.d, r.i): ((r.h % 2**64 >> 11) + 0.5) / 2**53 for r in frame.selectExpr("d", "i", "xxhash64(d, i, 0) h").collect()}
+    best = lambda d, n: max(range(n), key=lambda i: (-1 / math.log(u[d, i]), -i))
+    got = op3_rendezvous_sharding(spark, path)
+    for r in got.collect():
+        if r.doc_id is not None:
+            assert (r.shard, r.grown_shard) == (best(r.doc_id, 8), best(r.doc_id, 9))
+    again = sharding.shard_slots(spark.read.parquet(f"{path}/documents.parquet").repartition(7), [1.0] * 8)
+    assert sorted(map(str, again.select("doc_id", "text_crc32", "slot").collect())) == sorted(map(str, got.select("doc_id", "text_crc32", "slot").collect()))
+
+
+def test_pareto_inclusion_frequencies(spark):
+    """In many like sources a document is drawn about as often as its probability says, which differs within a source."""
+    sizes, sources = [1 + i % 7 * 3 for i in range(70)], 60
+    docs = spark.createDataFrame([(k * 70 + i, " ".join(["w"] * n), f"s{k:02}") for k in range(sources) for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    got = mixing.mix_plan(docs, cycle=(1.0,), total=1.3).collect()
+    rest = 0.3 * sum(sizes)
+    rate, drawn = rest / sum(s * s for s in sizes), {}
+    for r in got:
+        drawn.setdefault(r.size, []).append(r.copies - 1)
+    for s, x in drawn.items():
+        assert set(x) <= {0, 1} and abs(sum(x) / len(x) - rate * s) < 0.06, (s, sum(x) / len(x), rate * s)
+    assert sum(r.taken for r in got) / sources == pytest.approx(1.3 * sum(sizes), abs=6)
+    other = mixing.mix_plan(docs, cycle=(1.0,), total=1.3, seed="x").collect()
+    assert sorted((r.doc_id, r.copies) for r in other) != sorted((r.doc_id, r.copies) for r in got)
+
+
+def test_certain_copies(spark):
+    """A document too large for its probability is taken for certain, and the rest of the words goes to the others."""
+    docs = spark.createDataFrame([(i, "w " * 10, "a") for i in range(100)] + [(200, "w " * 900, "a")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix_plan(docs, total=0.7).collect()}
+    assert got[200].copies == 1 and sum(r.taken for r in got.values()) == pytest.approx(0.7 * 1900, abs=5)
+
+
 def test_weighted_shards_follow_weights_and_move_little(spark):
     keys = spark.range(20000).withColumn("shard", F.lit("clash"))
     two = {r.id: r.shard for r in sharding.shard_rows(keys, [1.0, 3.0], "id").collect()}

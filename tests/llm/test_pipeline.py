@@ -71,3 +71,12 @@ def test_stages_match_brute_force(spark, tmp_path):
     before, after = seen["rendezvous_sharding"]
     assert rows_of(before) == rows_of(after) and {r.shard for r in after} <= set(range(8))
     assert rows_of(__spark_entry__.queries()["pipeline"](spark, str(tmp_path)).collect()) == rows_of(after)
+
+
+def test_empty_table_passes_all_stages(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, source string, lang string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*docs.columns, "shard"] and out.collect() == []

@@ -24,9 +24,12 @@ def test_views_match_brute_force():
         alone = quality.content_view(pa.array([text], pa.string()))
         assert np.allclose(alone[0], view[i])
     meta = quality.metadata_view(batch)
-    assert (meta.sum(axis=1) == 6).all()
-    lines_at = quality.SOURCES + quality.LANGS + quality.BINS
-    assert meta[3, lines_at + 2] == 1 and meta[0, lines_at + 1] == 1  # 3 lines: bin log2(4); 1 line: bin log2(2)
+    assert (meta.sum(axis=1) == 3).all()
+    assert (view[:, quality.GRAMS + quality.MEASURES :].sum(axis=1) == 3).all()
+    lines_at = quality.GRAMS + quality.MEASURES
+    assert view[3, lines_at + 2] == 1 and view[0, lines_at + 1] == 1  # 3 lines: bin log2(4); 1 line: bin log2(2)
+    changed = pa.RecordBatch.from_pydict({"text": ["other"] * 6, **{c: batch.column(c) for c in ("source", "lang", "n_chars")}})
+    assert (quality.metadata_view(changed) == meta).all()  # the text is no metadata
     assert (meta[0, : quality.SOURCES] == meta[3, : quality.SOURCES]).all() and meta[1, quality.SOURCES - 1] == 1
 
 
@@ -70,3 +73,33 @@ def test_held_out_accuracy(spark):
     good = [got[d] for d, q in truth.items() if q]
     bad = [got[d] for d, q in truth.items() if not q]
     assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.25 * len(bad)
+
+
+def test_views_teach_each_other(spark):
+    """Metadata alone tells the classes apart, labels are few: the content view learns from what metadata is sure of."""
+    rnd = random.Random(5)
+    rows, labels = [], []
+    for i in range(1500):
+        good = i % 2
+        # labelled documents have words that tell nothing; the others' words do
+        words = ["alpha", "beta"] if i < 60 else ["gamma", "delta"] if good else ["omega", "sigma"]
+        rows.append((i, " ".join(rnd.choice(words) for _ in range(30)), "good.org" if good else "bad.org", "en", 100))
+        if i < 60:
+            labels.append((i, good))
+    rows.append((2000, "gamma delta " * 50000, "good.org", "en", 600000))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(4)
+    given = spark.createDataFrame(labels, "doc_id long, quality int")
+    test = spark.createDataFrame([(1, "gamma delta gamma delta gamma", None, None, None), (0, "omega sigma sigma omega", None, None, None)], docs.schema)
+    alone = {r.doc_id: r.content_score for r in quality.score(test, quality.fit(docs, given, rounds=0)).collect()}
+    taught = {r.doc_id: r.content_score for r in quality.score(test, quality.fit(docs, given)).collect()}
+    again = {r.doc_id: r.content_score for r in quality.score(test, quality.fit(docs.repartition(7), given)).collect()}
+    assert taught[1] - taught[0] > max(0.0, alone[1] - alone[0]) and taught == again
+
+
+def test_smallest_draws_match_brute_force(spark):
+    rnd = random.Random(6)
+    rows = [(k, rnd.random(), b"", b"") for k in (0, 1, 3) for _ in range(rnd.choice([5, 300]))]
+    rows += rows[:3]
+    got = quality._smallest(spark.createDataFrame(rows, "kind int, draw double, content binary, metadata binary").repartition(3), 20)
+    want = [(k, d) for k in range(4) for d in sorted({d for kind, d, *_ in rows if kind == k})[:20]]
+    assert list(zip(got.column("kind").to_pylist(), got.column("draw").to_pylist(), strict=True)) == want

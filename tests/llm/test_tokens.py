@@ -18,8 +18,10 @@ def test_query_matches_direct_counts(spark, tmp_path):
     got = op9_token_counts(spark, str(tmp_path))
     assert got.columns == ["doc_id", "n_tokens"]
     assert sorted(map(tuple, got.collect()), key=str) == want
-    small, eod = tokens.tokenized(spark.read.parquet(f"{tmp_path}/documents.parquet"), block_bytes=64)
-    assert sorted(map(tuple, tokens.scan(small, eod).select("doc_id", "n_tokens").collect()), key=str) == want
+    ids, eod = tokens.write_flat(spark.read.parquet(f"{tmp_path}/documents.parquet"), f"{tmp_path}/flat")
+    ids.write.parquet(f"{tmp_path}/ids")
+    small = tokens.scan(tokens.flat_blocks(spark, f"{tmp_path}/flat", 64), eod)
+    assert sorted(map(tuple, tokens.counts(small, spark.read.parquet(f"{tmp_path}/ids")).collect()), key=str) == want
 
 
 def test_flat_files(spark):
@@ -42,11 +44,12 @@ def test_flat_files(spark):
             stream.tofile(f"{path.removeprefix('file:')}/s{n}.bin")
         for size in (8, 1000, 1 << 20):
             got = {}
-            for r in tokens.scan(tokens.flat_files(spark, path, size), eod).collect():
+            for r in tokens.scan(tokens.flat_blocks(spark, path, size), eod).collect():
                 got.setdefault(int(r.file[-5]), []).append((r.ordinal, r.start, r.n_tokens, r.ended))
             assert {n: sorted(x) for n, x in got.items()} == {n: x for n, x in want.items() if x}
 
 
-def test_empty(spark):
-    blocks, eod = tokens.tokenized(spark.createDataFrame([], "doc_id long, text string"))
-    assert tokens.scan(blocks, eod).collect() == []
+def test_empty(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert op9_token_counts(spark, str(tmp_path)).collect() == []
+    assert tokens.scan(spark.createDataFrame([], "file string, block long, data binary"), 9).collect() == []
