@@ -186,7 +186,9 @@ class Training:
             y = np.concatenate([self.y[self.learn], *(labels for _, labels in self.given[v])])
             w = _logistic(x, y, DECAY[v])
             self.views.append(w)
-            self.calibration.append(_platt(_raw(self.labelled[v][self.back], w), self.y[self.back]))
+            slope = _platt(_raw(self.labelled[v][self.back], w), self.y[self.back])
+            # a view that ranks the held-back documents no better than chance has no opinion, rather than the opposite one
+            self.calibration.append(slope if slope[0] > 0 else np.zeros(2))
 
     def teach(self, view: int, rows: np.ndarray, labels: np.ndarray) -> None:
         """Let a view learn from rows that the other has labelled."""

@@ -81,10 +81,10 @@ def test_views_teach_each_other(spark):
     rows, labels = [], []
     for i in range(1500):
         good = i % 2
-        # labelled documents have words that tell nothing; the others' words do
-        words = ["alpha", "beta"] if i < 60 else ["gamma", "delta"] if good else ["omega", "sigma"]
+        # most labelled documents have words that tell nothing; the others' words do
+        words = ["alpha", "beta"] if i < 240 else ["gamma", "delta"] if good else ["omega", "sigma"]
         rows.append((i, " ".join(rnd.choice(words) for _ in range(30)), "good.org" if good else "bad.org", "en", 100))
-        if i < 60:
+        if i < 300:
             labels.append((i, good))
     rows.append((2000, "gamma delta " * 50000, "good.org", "en", 600000))
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(4)
