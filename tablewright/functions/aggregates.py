@@ -230,8 +230,13 @@ def _count_years(c, x: Val) -> Val:
 def _counts(x: Val) -> Column:
     """[(count, value)] of the group's distinct values, most frequent first, ties by value."""
     items = F.array_sort(F.collect_list(F.nullif(text(x), F.lit(""))))
-    runs = F.transform(F.array_distinct(items), lambda v: F.struct((-F.size(F.filter(items, lambda y: y == v))).alias("n"), v.alias("v")))
-    return F.array_sort(runs)
+
+    def runs(sorted_items: Column) -> Column:
+        # where equal items begin, each up to where the next begins
+        begins = F.filter(F.sequence(F.lit(0), F.size(sorted_items)), lambda i: (i < F.size(sorted_items)) & ((i == 0) | (F.get(sorted_items, i) != F.get(sorted_items, i - 1))))
+        return F.transform(F.array(begins), lambda b: F.transform(b, lambda i, k: F.struct((i - F.coalesce(F.get(b, k + 1), F.size(sorted_items))).alias("n"), F.get(sorted_items, i).alias("v"))))[0]
+
+    return F.array_sort(F.transform(F.array(items), runs)[0])
 
 
 # ties go to the smallest value; a map of counts, merged from tasks

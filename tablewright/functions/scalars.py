@@ -528,7 +528,19 @@ def _parsed(name: str, kind: str, cast: str) -> None:
 
 _parsed("datetime", "datetime", "timestamp_ntz")
 _parsed("date", "date", "date")
-_parsed("time", "time", "time(6)")
+
+
+@function("time")
+def _time(c, s: Val, shape: Val | None = None) -> Val:
+    """A time of day, kept as that time on 1970-01-01, as Spark's own type for it is not on in every session."""
+    if s.kind in TEMPORAL:
+        at = s.col.cast("timestamp_ntz")
+    elif shape is not None:
+        at = FUNCTIONS["datetime"](c, s, shape).col
+    else:
+        day = F.concat(F.lit("1970-01-01T"), F.regexp_replace(F.nullif(text(s), F.lit("")), "^.*[T ]", ""))
+        at = day.try_cast("timestamp_ntz") if c.lenient else day.cast("timestamp_ntz")
+    return Val(F.to_timestamp_ntz(F.concat(F.lit("1970-01-01 "), F.date_format(at, "HH:mm:ss.SSSSSS"))), "time")
 
 #: Units of spans, in months or microseconds.
 SPAN_MONTHS = {"y": 12, "year": 12, "years": 12, "mo": 1, "mos": 1, "month": 1, "months": 1}
@@ -592,7 +604,7 @@ for _n in ("without_timezone", "without_tz"):
 # the rest
 
 FUNCTIONS["typeof"] = lambda c, v: literal({"str": "string", "zoned": "datetime", "null": "none", "bool": "boolean"}.get(v.kind, v.kind))
-FUNCTIONS["err"] = lambda c, m: Val(F.raise_error(text(m)).cast("string"), "str")
+FUNCTIONS["err"] = lambda c, m: literal(None) if c.lenient else Val(F.raise_error(text(m)).cast("string"), "str")
 FUNCTIONS["uuid"] = lambda c: Val(F.call_function("uuid"), "str")
 
 

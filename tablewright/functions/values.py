@@ -75,8 +75,12 @@ def integer(v: Val) -> Column:
 def text(v: Val) -> Column:
     if v.kind == "str":
         return v.col
-    if v.kind in ("list", "map", "any"):
+    if v.kind == "any":
+        return F.coalesce(F.try_variant_get(v.col, "$", "string"), F.to_json(v.col))
+    if v.kind in ("list", "map"):
         return F.to_json(v.col)
+    if v.kind == "time":
+        return F.date_format(v.col, "HH:mm:ss")
     return v.col.cast("string")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import udf
 from ..functions.compiler import select_names
+from ..storage import durable
 
 HOW = ("inner", "left", "right", "full", "semi", "anti")
 #: Bytes of patterns at most that every task gets a copy of; beyond, pattern joins run against the patterns in blocks.
@@ -82,14 +83,21 @@ def fuzzy(left: DataFrame, text: str, right: DataFrame, pattern: str, kind: str
     else:
         test = F.lower(cell).contains(F.lower(p)) if fold else cell.contains(p)
     columns = [c for c in left.columns if c != "_stems"], [c for c in right.columns if c != "_prefix"]
-    out = [F.col(f"l.`{c}`") for c in columns[0]] + [F.col(f"r.`{c}`") for c in columns[1]]
-    size = right.agg(F.sum(F.octet_length(pattern))).first()[0] or 0
+    out = [F.col(f"l.`{c}`") for c in columns[0]] + [F.col(f"w.`{c}`") for c in columns[1]]
+    # only the patterns travel to all tasks, with a number; the rest of their rows is joined by it
+    wide = durable(right.withColumn("_id", F.monotonically_increasing_id()))
+    narrow = wide.select("_id", pattern, *(["_prefix"] if kind == "url" else []))
+    size = narrow.agg(F.sum(F.octet_length(pattern) + 16)).first()[0] or 0
     blocks = -(-size // PATTERN_BYTES) or 1
-    found = None
+    met, alone = None, left.alias("l")
     for k in range(blocks):
-        part = right if blocks == 1 else right.filter(F.pmod(F.xxhash64(pattern), F.lit(blocks)) == k)
-        one = left.alias("l").join(F.broadcast(part.alias("r")), test, "left" if how == "left" and blocks == 1 else "inner").select(*out)
-        found = one if found is None else found.union(one)
-    if how == "left" and blocks > 1:
-        raise ValueError("a left pattern join needs patterns that fit one block")
+        part = F.broadcast((narrow if blocks == 1 else narrow.filter(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == k)).alias("r"))
+        one = left.alias("l").join(part, test).select("l.*", F.col("r._id").alias("_id"))
+        met = one if met is None else met.union(one)
+        if how == "left":
+            alone = alone.join(part, test, "left_anti").alias("l")
+    found = met.alias("l").join(wide.alias("w"), "_id").select(*out)
+    if how == "left":
+        empty = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in columns[1]]
+        found = found.union(alone.select(*[F.col(f"l.`{c}`") for c in columns[0]], *empty))
     return found

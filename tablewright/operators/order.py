@@ -5,38 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges into which rows are cut to be numbered. Their bounds come from a sample of at most 32 times as many rows.
-RANGES = 64
-
+from ..storage import durable
 
 def order_struct(order_by: str | list[str]) -> Column:
     names = [order_by] if isinstance(order_by, str) else order_by
     return F.struct(*[F.col(f"`{n}`") for n in names])
 
 
-def ranged(df: DataFrame, order_by: str | list[str], name: str = "_range") -> DataFrame:
-    """df with `name`, the number (below RANGES) of the range of the order that a row falls into; the bounds are constants of
-    the plan, picked from a sample by hash."""
+def ranged(df: DataFrame, order_by: str | list[str], name: str = "_range", place: str = "_within") -> DataFrame:
+    """df with `name`, the number of the range of the order that a row falls into, and `place`, its place within from 0.
+
+    There are as many ranges as partitions of a shuffle. Rows are kept as they fell, so that numbers agree however often
+    they are read.
+    """
     order = order_struct(order_by)
-    keys = df.select(order.alias("k"))
-    sample = keys.orderBy(F.xxhash64("k"), "k").limit(RANGES * 32)
-    picked = sample.agg(F.array_sort(F.collect_list("k")).alias("k"))
-    ranks = [F.get("k", F.floor(F.size("k") * (i / RANGES)).cast("int")) for i in range(1, RANGES)]
-    bounds = [b for b in picked.select(F.array(*ranks).alias("bounds")).first().bounds if b is not None]
-    table = df.sparkSession.createDataFrame([(bounds,)], f"_bounds array<{keys.schema['k'].dataType.simpleString()}>")
-    return df.crossJoin(F.broadcast(table)).withColumn(name, F.size(F.filter("_bounds", lambda b: b <= order))).drop("_bounds")
+    at = F.monotonically_increasing_id()
+    kept = durable(df.repartitionByRange(order).sortWithinPartitions(order).withColumn(name, at))
+    return kept.withColumn(place, F.col(name).bitwiseAND(F.lit((1 << 33) - 1))).withColumn(name, F.shiftright(name, 33))
 
 
 def numbered(df: DataFrame, order_by: str | list[str], name: str = "_row") -> DataFrame:
-    """df with `name`, each row's place from 0. No task holds all rows: they are numbered within ranges of the order, to
-    which the counts of the ranges before are added."""
+    """df with `name`, each row's place from 0. No task holds all rows: to their places within ranges of the order the counts of
+    the ranges before are added, a small table of one row a range."""
     placed = ranged(df, order_by)
     counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(Window.orderBy("_range"))
     offsets = counts.select("_range", (upto - F.col("_n")).alias("_offset"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(order_struct(order_by)))
-    out = placed.withColumn("_within", within).join(F.broadcast(offsets), "_range")
-    return out.withColumn(name, F.col("_offset") + F.col("_within") - 1).drop("_range", "_within", "_offset")
+    out = placed.join(F.broadcast(offsets), "_range")
+    return out.withColumn(name, F.col("_offset") + F.col("_within")).drop("_range", "_within", "_offset")
 
 
 def window(group: list[str] | None, order_by: str | list[str]) -> Window:

@@ -13,6 +13,10 @@ from ..functions.values import TypeProblem, Val, kind_of, number
 from .order import numbered, order_struct, ranged, window
 
 
+#: Rows of a slice up to which the first ones are fetched in order instead of numbering all.
+FETCHED = 10_000
+
+
 def _at(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -112,10 +116,12 @@ def slice_rows(df: DataFrame, order_by, start: int = 0, end: int | None = None,
         return first.filter(keep).select(*[_at(n) for n in df.columns])
     if indices is None and start == 0 and (end is not None or length is not None):
         return head(df, order_by, end if end is not None else length)
+    stop = end if end is not None else start + length if length is not None else None
+    if indices is None and stop is not None and stop <= FETCHED:
+        return df.orderBy(order_struct(order_by)).offset(start).limit(max(0, stop - start))
     rows = numbered(df, order_by, "_place")
     if indices is not None:
         return rows.filter(F.col("_place").isin(indices)).drop("_place")
-    stop = end if end is not None else start + length if length is not None else None
     rows = rows.filter(F.col("_place") >= start)
     return (rows if stop is None else rows.filter(F.col("_place") < stop)).drop("_place")
 
@@ -130,9 +136,17 @@ def bisect(df: DataFrame, column: str, value, exact: bool = False, upper: bool =
     return df.filter(x > value if upper else x >= value)
 
 
-def sample(df: DataFrame, k: int, seed: int = 0, weight: str | None = None, group: str | None = None) -> DataFrame:
-    """k uniform rows, or weighted without replacement, or k of each group."""
-    u = F.rand(seed)
+def drawn(df: DataFrame, seed: int, key: str | None = None) -> Column:
+    """A number in (0, 1) for each row, that depends on the seed and the cells of the key alone: 48 bits of an MD5."""
+    cells = [F.coalesce(_at(n).cast("string"), F.lit("")) for n in (select_names(df, key) if key else df.columns)]
+    text = F.concat_ws("|", F.lit(str(seed)), *cells)
+    return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+def sample(df: DataFrame, k: int, seed: int = 0, weight: str | None = None, group: str | None = None, key: str | None = None) -> DataFrame:
+    """k uniform rows, or weighted without replacement, or k of each group. The draw is that of the key's cells, by default of
+    all: it is the same however the table is split, and rows that agree in the key are drawn one after the other."""
+    u = drawn(df, seed, key)
     key = F.when(_at(weight) > 0, -F.pow(u, 1.0 / _at(weight).cast("double"))).otherwise(F.lit(0.0)) if weight else u
     keyed = df.withColumn("_key", key)
     if not group:
@@ -141,8 +155,8 @@ def sample(df: DataFrame, k: int, seed: int = 0, weight: str | None = None, grou
     return keyed.withColumn("_place", place).filter(F.col("_place") <= k).drop("_key", "_place")
 
 
-def shuffle(df: DataFrame, seed: int = 0) -> DataFrame:
-    return df.orderBy(F.rand(seed))
+def shuffle(df: DataFrame, seed: int = 0, key: str | None = None) -> DataFrame:
+    return df.orderBy(drawn(df, seed, key))
 
 
 def enum(df: DataFrame, order_by, name: str = "index", start: int = 0) -> DataFrame:
@@ -263,7 +277,7 @@ def fill(df: DataFrame, spec: str | None = None, value=None, order_by=None, grou
     """Empty cells filled with a constant, or with the last filled cell before.
 
     Without groups, rows are filled within ranges of the order, then from the last filled cell of the ranges before: those
-    are a small table of at most 64 rows.
+    are a small table of one row a range.
     """
     chosen = select_names(df, spec) if spec else df.columns
     if value is not None:

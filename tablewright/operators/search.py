@@ -36,8 +36,15 @@ def _cells(df: DataFrame, spec: str | None) -> list[Column]:
     return [F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")) for n in (select_names(df, spec) if spec else df.columns)]
 
 
+def _plain(df: DataFrame, spec: str | None) -> list[Column]:
+    """Texts as they are, so that tests reach the scan; a null fails every test of a pattern that empty text fails."""
+    names = select_names(df, spec) if spec else df.columns
+    return [F.col(f"`{n}`") if df.schema[n].dataType.simpleString() == "string" else F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")) for n in names]
+
+
 def predicate(df: DataFrame, pattern: str | list[str], spec: str | None = None, mode: str = "substring", fold: bool = False, distance: int = 1, every: bool = False) -> Column:
-    cells = _cells(df, spec)
+    fixed = mode in ("exact", "substring") and all([pattern] if isinstance(pattern, str) else pattern)
+    cells = _plain(df, spec) if fixed else _cells(df, spec)
     if mode in ("empty", "nonempty"):
         tests = [(c == "") if mode == "empty" else (c != "") for c in cells]
     else:
@@ -56,7 +63,7 @@ def predicate(df: DataFrame, pattern: str | list[str], spec: str | None = None,
 def search(df: DataFrame, pattern: str | list[str] = "", spec: str | None = None, mode: str = "substring", invert: bool = False, limit: int | None = None, before: int = 0, after: int = 0, order_by=None, **options) -> DataFrame:
     """Rows with a match in any selected cell (every=True: in each)."""
     test = predicate(df, pattern, spec, mode, **options)
-    return context(df, ~test if invert else test, before, after, limit, order_by).select(*[F.col(f"`{c}`") for c in df.columns])
+    return context(df, ~F.coalesce(test, F.lit(False)) if invert else test, before, after, limit, order_by).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def _regex(pattern: str, mode: str, fold: bool, overlapping: bool = False) -> str:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, udf
 from ..functions.values import Val
+from ..storage import durable
 
 #: Kinds of tokens and their patterns, tried in this order.
 KINDS = (
@@ -24,7 +23,7 @@ def token_array(cell: Column, simple: bool = False, kinds: list[str] | None = No
     if split_hyphens:
         text = F.translate(text, "-", " ")
     pattern = SIMPLE if simple else "(?:" + "|".join(f"(?:{p})" for _, p in KINDS) + ")"
-    out = F.regexp_extract_all(text, F.lit(f"(?U){pattern}" if simple else pattern), F.lit(0))
+    out = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if kinds:
         out = F.filter(out, lambda t: token_kind(t).isin(kinds))
     if min_length:
@@ -128,43 +127,91 @@ def vocab_doc_token(df: DataFrame, doc: str, token: str, sep: str | None = None,
     return j.select(F.col("doc").alias(doc), "token", weight.alias("tf"), expected.alias("expected_tf"), (weight * idf).alias("tfidf"), bm25.alias("bm25"), F.when(count >= expected, chi2).alias("chi2"))
 
 
-def cooccurrences(df: DataFrame, doc: str, token: str, order_by, sep: str | None = None, window_size: int = 1, forward: bool = False, min_count: int = 1) -> DataFrame:
-    """token1, token2, count, expected, chi2, G2, pmi, npmi of tokens at most `window_size` places apart in a document.
+def cooccurrences(df: DataFrame, doc: str, token: str, order_by, sep: str | None = None, window_size: int | None = 1, forward: bool = False, min_count: int = 1, chi2: float | None = None, g2: float | None = None) -> DataFrame:
+    """token1, token2, count, expected_count, chi2, G2, pmi, npmi of tokens at most `window_size` places apart in a document, or, if that is
+    None, of all in its bag of words. chi2, g2: only pairs whose statistic reaches these.
 
-    Pairs are made by lead() at each distance: no join of a document with itself. Pairs are ordered unless forward.
+    Pairs within a window are made by lead() at each distance, those of a bag from the counts of its distinct tokens: positions
+    are never joined with each other. token1 is the smaller of a pair unless forward, which needs a window.
     """
-    items = df.select(F.col(f"`{doc}`").alias("doc"), *[F.col(f"`{o}`").alias(f"_o{i}") for i, o in enumerate([order_by] if isinstance(order_by, str) else order_by)], F.col(f"`{token}`").alias("token"))
+    names = [order_by] if isinstance(order_by, str) else order_by
+    items = df.select(F.col(f"`{doc}`").alias("doc"), *[F.col(f"`{o}`").alias(f"_o{i}") for i, o in enumerate(names)], F.col(f"`{token}`").alias("token"))
     if sep:
         items = items.select("doc", *[c for c in items.columns if c.startswith("_o")], F.posexplode(F.split("token", f"\\Q{sep}\\E")).alias("_p", "token"))
     items = items.filter("token is not null and token <> ''")
-    w = Window.partitionBy("doc").orderBy(*[c for c in items.columns if c.startswith("_")])
-    ahead = F.array(*[F.lead("token", d).over(w) for d in range(1, window_size + 1)])
-    pairs = items.withColumn("_next", ahead).select("token", F.explode("_next").alias("other")).filter("other is not null")
-    a, b = (F.col("token"), F.col("other")) if forward else (F.least("token", "other"), F.greatest("token", "other"))
-    pairs = pairs.groupBy(a.alias("token1"), b.alias("token2")).agg(F.count(F.lit(1)).alias("count"))
+    if window_size is None:
+        if forward:
+            raise ValueError("a bag of words has no direction: give a window")
+        bag = items.groupBy("doc", "token").agg(F.count(F.lit(1)).alias("n"))
+        other = bag.select(F.col("doc").alias("d2"), F.col("token").alias("token2"), F.col("n").alias("n2"))
+        met = bag.join(other, (F.col("doc") == F.col("d2")) & (F.col("token") <= F.col("token2")))
+        own = F.col("token") == F.col("token2")
+        n = F.when(own, F.expr("n * (n - 1) div 2")).otherwise(F.col("n") * F.col("n2"))
+        pairs = met.groupBy(F.col("token").alias("token1"), "token2").agg(F.sum(n).alias("count")).filter("count > 0")
+    else:
+        w = Window.partitionBy("doc").orderBy(*[c for c in items.columns if c.startswith("_")])
+        ahead = F.array(*[F.lead("token", d).over(w) for d in range(1, window_size + 1)])
+        met = items.withColumn("_next", ahead).select("token", F.explode("_next").alias("other")).filter("other is not null")
+        a, b = (F.col("token"), F.col("other")) if forward else (F.least("token", "other"), F.greatest("token", "other"))
+        pairs = met.groupBy(a.alias("token1"), b.alias("token2")).agg(F.count(F.lit(1)).alias("count"))
+    j = _with_totals(pairs).filter(F.col("count") >= min_count)
+    n, x, y, o = F.col("_pairs"), F.col("t1"), F.col("t2"), F.col("count").cast("double")
+    expected, over = x * y / n, F.col("count") >= x * y / n
+    pmi = F.log2(o * n / (x * y))
+    npmi = F.when(o >= n, 1.0).otherwise(pmi / -F.log2(F.when(o < n, o / n)))
+    out = j.select("token1", "token2", "count", expected.alias("expected_count"), F.when(over, _chi2(n, x, y, o)).alias("chi2"), _g2(n, x, y, o).alias("G2"), pmi.alias("pmi"), npmi.alias("npmi"))
+    out = out if chi2 is None else out.filter(F.col("chi2") >= chi2)
+    return out if g2 is None else out.filter(F.col("G2") >= g2)
+
+
+def _with_totals(pairs: DataFrame) -> DataFrame:
+    """pairs(token1, token2, count) with t1 and t2, the pairs that each token is in (one with itself counts once), and _pairs of all."""
     ends = F.explode(F.when(F.col("token1") == F.col("token2"), F.array("token1")).otherwise(F.array("token1", "token2"))).alias("token")
     totals = pairs.select("count", ends).groupBy("token").agg(F.sum("count").alias("total"))
     whole = pairs.agg(F.sum("count").cast("double").alias("_pairs"))
     one, two = (totals.select(F.col("token").alias(f"token{i}"), F.col("total").cast("double").alias(f"t{i}")) for i in (1, 2))
-    j = pairs.filter(F.col("count") >= min_count).join(one, "token1").join(two, "token2").crossJoin(F.broadcast(whole))
-    n, x, y, o = F.col("_pairs"), F.col("t1"), F.col("t2"), F.col("count").cast("double")
-    expected = x * y / n
-    cells = [(o, x * y / n), (x - o, x * (n - y) / n), (y - o, (n - x) * y / n), (n - x - y + o, (n - x) * (n - y) / n)]
-    chi2 = sum((F.when(e > 0, F.pow(v - e, 2) / e).otherwise(0.0) for v, e in cells), F.lit(0.0))
-    g2 = 2 * sum((F.when((v > 0) & (e > 0), v * F.ln(v / e)).otherwise(0.0) for v, e in cells), F.lit(0.0))
-    pmi = F.ln(o * n / (x * y)) / math.log(2)
-    surprise = -F.ln(o / n) / math.log(2)
-    npmi = F.when(surprise > 0, pmi / F.when(surprise > 0, surprise)).otherwise(1.0)
-    return j.select("token1", "token2", "count", expected.alias("expected"), F.when(o >= expected, chi2).alias("chi2"), F.when(o >= expected, g2).alias("G2"), pmi.alias("pmi"), npmi.alias("npmi"))
-
-
-def cooccurrence_distribution(pairs: DataFrame) -> DataFrame:
-    """sd_I and sd_G2 of tokens that share contexts: the overlap of their neighbours' information and G2, from `cooccurrences`."""
-    both = pairs.select(F.col("token1").alias("token"), F.col("token2").alias("context"), "pmi", "G2")
-    both = both.union(pairs.select("token2", "token1", "pmi", "G2")).filter("pmi > 0").distinct()
-    other = both.select("context", F.col("token").alias("other"), F.col("pmi").alias("pmi2"), F.col("G2").alias("G2_2"))
-    shared = both.join(other, "context").filter("token < other")
-    return shared.groupBy(F.col("token").alias("token1"), F.col("other").alias("token2")).agg(F.sum(F.least("pmi", "pmi2")).alias("sd_I"), F.sum(F.least("G2", "G2_2")).alias("sd_G2"))
+    return pairs.join(one, "token1").join(two, "token2").crossJoin(F.broadcast(whole))
+
+
+def _table(n: Column, x: Column, y: Column, o: Column) -> list[tuple[Column, Column]]:
+    """(observed, expected) of the four cells of a contingency table."""
+    return [(o, x * y / n), (x - o, x * (n - y) / n), (y - o, y * (n - x) / n), (n + o - x - y, (n - x) * (n - y) / n)]
+
+
+def _chi2(n: Column, x: Column, y: Column, o: Column) -> Column:
+    """Where a cell can't be expected: 0 if one of those is empty, else what the first cell alone gives."""
+    cells = _table(n, x, y, o)
+    terms = [F.pow(v - e, 2) / F.nullif(e, F.lit(0.0)) for v, e in cells]
+    empty = [(e == 0) & (v == 0) for v, e in cells]
+    return F.when(empty[1] | empty[2] | empty[3], 0.0).otherwise(F.coalesce(terms[0] + terms[1] + terms[2] + terms[3], terms[0]))
+
+
+def _g2(n: Column, x: Column, y: Column, o: Column) -> Column:
+    """Observed cells of 0 or less add nothing; where one can't be expected, what the first cell alone gives."""
+    cells = _table(n, x, y, o)
+    terms = [F.when(v > 0, v * F.ln(F.when(v > 0, v) / F.nullif(e, F.lit(0.0)))).otherwise(0.0) for v, e in cells]
+    return F.coalesce(2 * (terms[0] + terms[1] + terms[2] + terms[3]), terms[0])
+
+
+def cooccurrence_distribution(df: DataFrame, doc: str, token: str, order_by, sep: str | None = None, window_size: int | None = 1, min_count: int = 1) -> DataFrame:
+    """token1, token2, count, expected_count, sd_I, sd_G2: how far the contexts of token1 are those of token2, for each direction of the
+    tokens that co-occur. The lesser of the two's positive pmi (G2) with each context that both have, summed, over the sum of
+    token1's with all its contexts. Pairs without any such context are left out, as are tokens' pairs with themselves."""
+    pairs = cooccurrences(df, doc, token, order_by, sep, window_size).select("token1", "token2", "count", "expected_count", "pmi", "G2")
+    back = [F.col("token2").alias("token1"), F.col("token1").alias("token2"), "count", "expected_count", "pmi", "G2"]
+    both = durable(pairs.union(pairs.filter("token1 <> token2").select(*back)))
+    positive = both.select(F.col("token1").alias("token"), F.col("token2").alias("context"), F.greatest("pmi", F.lit(0.0)).alias("i"), F.greatest("G2", F.lit(0.0)).alias("g"))
+    apart = positive.filter("token <> context")
+    sums = apart.groupBy("token").agg(F.sum("i").alias("all_i"), F.sum("g").alias("all_g"))
+    # of each pair the token of fewer contexts is looked from, by name where they have as many; the other may be a context of itself
+    degree = both.groupBy(F.col("token1").alias("token")).agg(F.count(F.lit(1)).alias("d"))
+    met = both.filter("token1 <> token2").filter(F.col("count") >= min_count).select("token1", "token2", "count", "expected_count")
+    met = met.join(degree.toDF("token1", "d1"), "token1").join(degree.toDF("token2", "d2"), "token2").filter(F.struct("d1", "token1") < F.struct("d2", "token2"))
+    one = met.join(apart.toDF("token1", "context", "i1", "g1"), "token1")
+    shared = one.join(positive.toDF("token2", "context", "i2", "g2"), ["token2", "context"]).groupBy("token1", "token2").agg(F.first("count").alias("count"), F.first("expected_count").alias("expected_count"), F.sum(F.least("i1", "i2")).alias("i"), F.sum(F.least("g1", "g2")).alias("g"))
+    shared = shared.filter("i > 0 or g > 0")
+    each = shared.union(shared.select(F.col("token2"), F.col("token1"), "count", "expected_count", "i", "g")).join(sums.toDF("token1", "all_i", "all_g"), "token1")
+    return each.select("token1", "token2", "count", "expected_count", (F.col("i") / F.nullif("all_i", F.lit(0.0))).alias("sd_I"), (F.col("g") / F.nullif("all_g", F.lit(0.0))).alias("sd_G2"))
 
 
 def cluster(df: DataFrame, column: str, key: Column | None = None, name: str = "cluster") -> DataFrame:

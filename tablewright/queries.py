@@ -32,6 +32,11 @@ def q(name: str, sql: str | None, f: Callable[[Tables], DataFrame]) -> None:
         SQL[name] = sql
 
 
+def _drawn(seed: int, key: str) -> str:
+    """In SQL, the number in (0, 1) by which a row is drawn."""
+    return f"((CAST(CAST('0x' || substr(md5('{seed}|' || {key}), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0)"
+
+
 # rows and columns
 
 q("groupby_pricing", """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, avg(l_extendedprice) AS avg_price, sum(l_extendedprice * (1 - l_discount)) AS revenue, count(*) AS n
@@ -75,8 +80,8 @@ q("fill_whole_table", "SELECT o_orderkey, last_value(CASE WHEN o_totalprice > 40
 q("plot_buckets", "WITH e AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders) SELECT a + (k + 0.5) * ((b - a) / 20) AS x, avg(o_custkey) AS y FROM (SELECT a, b, o_custkey, least(floor((o_totalprice - a) / ((b - a) / 20)), 19) AS k FROM orders, e) GROUP BY a, b, k",
   lambda t: display.plot_points(t.orders, "o_totalprice", "o_custkey", 20))
 q("plot_regression", "SELECT regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept, regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem", lambda t: display.regression(t.lineitem, "l_quantity", "l_extendedprice"))
-q("sample_rows", None, lambda t: rows.sample(t.customer, 20, 7))
-q("sample_groups", None, lambda t: rows.sample(t.orders, 3, 7, weight="o_totalprice", group="o_orderpriority"))
+q("sample_rows", f"SELECT * FROM customer ORDER BY {_drawn(7, 'c_custkey')} LIMIT 20", lambda t: rows.sample(t.customer, 20, 7, key="c_custkey"))
+q("sample_groups", f"SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY pow({_drawn(7, 'o_orderkey')}, 1.0 / o_totalprice) DESC) <= 3", lambda t: rows.sample(t.orders, 3, 7, weight="o_totalprice", group="o_orderpriority", key="o_orderkey"))
 q("shuffle_rows", "SELECT * FROM nation", lambda t: rows.shuffle(t.nation, 3))
 
 # joins
@@ -117,8 +122,8 @@ q("frequency_top", """WITH c AS (SELECT o_orderpriority AS value, count(*) AS co
 SELECT 'o_orderpriority' AS field, value, count FROM r WHERE k <= 3 UNION ALL SELECT 'o_orderpriority', '<rest>', CAST(sum(count) AS BIGINT) FROM r WHERE k > 3 HAVING sum(count) > 0""", lambda t: aggregate.frequency(t.orders, "o_orderpriority", 3))
 q("frequency_all", "SELECT 'lang' AS field, lang AS value, count(*) AS count FROM documents GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY 2", lambda t: aggregate.frequency(t.documents, "lang,source", None))
 q("frequency_approximate", None, lambda t: aggregate.frequency(t.lineitem, "l_returnflag", 3, approx=True))
-q("stats_numbers", """SELECT 'l_quantity' AS field, count(l_quantity) AS count, 0 AS count_empty, 'float' AS type, 'float' AS types, sum(l_quantity) AS sum, avg(l_quantity) AS mean, var_pop(l_quantity) AS variance, stddev_pop(l_quantity) AS stddev, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem
-UNION ALL SELECT 'l_tax', count(l_tax), 0, 'float', 'float', sum(l_tax), avg(l_tax), var_pop(l_tax), stddev_pop(l_tax), min(l_tax), max(l_tax) FROM lineitem""", lambda t: aggregate.stats(t.lineitem, "l_quantity,l_tax").drop("lex_first", "lex_last", "min_length", "max_length"))
+q("stats_numbers", """SELECT 'l_quantity' AS field, count(l_quantity) AS count, 0 AS count_empty, 'float' AS type, 'float' AS types, sum(l_quantity) AS sum, avg(l_quantity) AS mean, var_pop(l_quantity) AS variance, stddev_pop(l_quantity) AS stddev, min(l_quantity) AS min, max(l_quantity) AS max, min(l_quantity::VARCHAR) AS lex_first, max(l_quantity::VARCHAR) AS lex_last, min(length(l_quantity::VARCHAR)) AS min_length, max(length(l_quantity::VARCHAR)) AS max_length FROM lineitem
+UNION ALL SELECT 'l_tax', count(l_tax), 0, 'float', 'float', sum(l_tax), avg(l_tax), var_pop(l_tax), stddev_pop(l_tax), min(l_tax), max(l_tax), min(l_tax::VARCHAR), max(l_tax::VARCHAR), min(length(l_tax::VARCHAR)), max(length(l_tax::VARCHAR)) FROM lineitem""", lambda t: aggregate.stats(t.lineitem, "l_quantity,l_tax"))
 q("stats_texts", "SELECT 'c_name' AS field, count(*) AS count, 'string' AS type, min(c_name) AS lex_first, max(c_name) AS lex_last, min(strlen(c_name)) AS min_length, max(strlen(c_name)) AS max_length, count(DISTINCT c_name) AS cardinality FROM customer",
   lambda t: aggregate.stats(t.customer, "c_name", cardinality=True).select("field", "count", "type", "lex_first", "lex_last", "min_length", "max_length", "cardinality"))
 q("bins_exact", """WITH e AS (SELECT min(value) AS a, max(value) AS b FROM events) SELECT 'value' AS field, a + k * ((b - a) / 5) AS lower_bound, count(*) AS count
@@ -150,12 +155,12 @@ q("separate_captures", "SELECT event_id, regexp_extract(props, '\"(\\w+)\": (\\d
 q("pivot_wide", "SELECT o_orderstatus, sum(o_totalprice) FILTER (o_orderpriority = '1-URGENT') AS \"1-URGENT\", sum(o_totalprice) FILTER (o_orderpriority = '2-HIGH') AS \"2-HIGH\" FROM orders GROUP BY 1", lambda t: reshape.pivot(t.orders, "o_orderpriority", "sum(o_totalprice)", group="o_orderstatus", values=["1-URGENT", "2-HIGH"]))
 q("unpivot_long", "SELECT s_suppkey, 's_name' AS name, s_name AS value FROM supplier UNION ALL SELECT s_suppkey, 's_nationkey', CAST(s_nationkey AS VARCHAR) FROM supplier", lambda t: reshape.unpivot(t.supplier.select("s_suppkey", "s_name", "s_nationkey"), "s_name,s_nationkey"))
 q("complete_integers", "WITH k AS (SELECT unnest(generate_series((SELECT min(s_nationkey) FROM supplier), (SELECT max(s_nationkey) FROM supplier)))::INT AS s_nationkey) SELECT k.s_nationkey, s.s_suppkey FROM k LEFT JOIN supplier s USING (s_nationkey)", lambda t: reshape.complete(t.supplier.select("s_nationkey", "s_suppkey"), "s_nationkey"))
-q("complete_days", "WITH d AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_id % 5 = 0), k AS (SELECT strftime(unnest(generate_series((SELECT min(day)::DATE FROM d), (SELECT max(day)::DATE FROM d), INTERVAL 1 DAY)), '%Y-%m-%d') AS day) SELECT day FROM k",
+q("complete_days", "WITH d AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events), k AS (SELECT strftime(unnest(generate_series((SELECT min(day)::DATE FROM d), (SELECT max(day)::DATE FROM d), INTERVAL 1 DAY)), '%Y-%m-%d') AS day) SELECT day FROM k",
   lambda t: reshape.complete(t.events.select(F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct(), "day", unit="day"))
 q("cat_union", "SELECT n_nationkey, n_name, NULL AS r_name FROM nation UNION ALL SELECT NULL, NULL, r_name FROM region", lambda t: reshape.cat_rows(t.nation.select("n_nationkey", "n_name"), t.region.select("r_name"), how="union"))
 q("cat_columns", "SELECT n_name, s_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation) JOIN (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier) USING (k)", lambda t: reshape.cat_columns(t.nation, t.supplier, "n_nationkey", "s_suppkey").select("n_name", "s_name"))
 q("merge_unique", "SELECT DISTINCT n_name AS name FROM nation UNION SELECT r_name FROM region", lambda t: reshape.merge(t.nation.select(F.col("n_name").alias("name")), t.region.select(F.col("r_name").alias("name")), t.region.select(F.col("r_name").alias("name")), key="name", unique=True))
-q("flatten_cells", "SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS row, 'r_name' AS field, r_name AS value FROM region", lambda t: reshape.flatten(t.region, "r_regionkey").filter("field = 'r_name'"))
+q("flatten_cells", "WITH r AS (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS row, * FROM region) SELECT row, 'r_name' AS field, r_name AS value FROM r UNION ALL SELECT row, 'r_regionkey', r_regionkey::VARCHAR FROM r", lambda t: reshape.flatten(t.region, "r_regionkey"))
 q("transpose_table", None, lambda t: reshape.transpose(t.region, "r_name"))
 
 # search
@@ -194,27 +199,53 @@ def _tokens(t: Tables) -> DataFrame:
 
 
 q("tokenize_simple", f"SELECT doc_id, token, count(*) AS n FROM ({_TOK}) GROUP BY ALL", lambda t: _tokens(t).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")))
-q("tokenize_typed", None, lambda t: aggregate.frequency(text.tokenize(t.documents, "text", "token", rows=True, types="kind"), "kind", None))
-q("tokenize_sentences", None, lambda t: text.sentences(t.documents.select("doc_id", "text"), "text"))
+# kinds as the patterns of text.KINDS tell them, by another engine of regular expressions
+_KIND = "CASE " + " ".join(f"WHEN regexp_full_match(token, '{p.replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, p in text.KINDS) + " ELSE 'punct' END"
+_ANY = "|".join(f"(?:{p})" for _, p in text.KINDS).replace("'", "''")
+q("tokenize_typed", f"SELECT kind, token, count(*) AS n FROM (SELECT token, {_KIND} AS kind FROM (SELECT unnest(regexp_extract_all(text, '{_ANY}')) AS token FROM documents)) GROUP BY ALL",
+  lambda t: text.tokenize(t.documents, "text", "token", rows=True, types="kind").groupBy("kind", "token").agg(F.count(F.lit(1)).alias("n")))
+q("tokenize_sentences", r"""SELECT doc_id, trim(s) AS sentence FROM (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?…])\s+([\p{Lu}\p{N}"«(])', '\1' || chr(1) || '\2', 'g'), '[\x01\n]+')) AS s FROM documents) WHERE length(trim(s)) > 0""",
+  lambda t: text.sentences(t.documents.select("doc_id", "text"), "text"))
 q("tokenize_paragraphs", "SELECT doc_id, trim(p) AS paragraph FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents) WHERE trim(p) <> ''", lambda t: text.paragraphs(t.documents.select("doc_id", "text"), "text"))
 q("vocab_corpus", f"WITH k AS ({_TOK}) SELECT count(DISTINCT doc_id) AS doc_count, count(*) AS token_count, count(DISTINCT token) AS distinct_token_count, count(*) / count(DISTINCT doc_id) AS average_doc_len FROM k", lambda t: text.vocab_corpus(_tokens(t), "doc_id", "token"))
 q("vocab_doc", f"WITH k AS ({_TOK}) SELECT doc_id, count(*) AS token_count, count(DISTINCT token) AS distinct_token_count FROM k GROUP BY 1", lambda t: text.vocab_doc(_tokens(t), "doc_id", "token"))
 q("vocab_token", f"""WITH k AS ({_TOK}), n AS (SELECT count(DISTINCT doc_id)::DOUBLE AS big FROM k) SELECT token, count(*) AS gf, count(DISTINCT doc_id) AS df, count(DISTINCT doc_id) / any_value(big) AS df_ratio, ln(any_value(big) / count(DISTINCT doc_id)) AS idf,
-count(*) * any_value(big) / count(DISTINCT doc_id) AS gfidf FROM k, n GROUP BY 1""", lambda t: text.vocab_token(_tokens(t), "doc_id", "token").drop("pigeon"))
+count(*) * any_value(big) / count(DISTINCT doc_id) AS gfidf, (any_value(big) - any_value(big) * pow((any_value(big) - 1) / any_value(big), count(*))) / count(DISTINCT doc_id) AS pigeon FROM k, n GROUP BY 1""", lambda t: text.vocab_token(_tokens(t), "doc_id", "token"))
 q("vocab_doc_token", f"""WITH k AS ({_TOK}), n AS (SELECT doc_id, token, count(*)::DOUBLE AS c FROM k GROUP BY ALL), d AS (SELECT doc_id, sum(c) AS dl FROM n GROUP BY 1), g AS (SELECT token, sum(c) AS gf, count(*) AS df FROM n GROUP BY 1),
-w AS (SELECT sum(dl) AS t, count(*)::DOUBLE AS big FROM d) SELECT doc_id, token, c AS tf, gf * dl / t AS expected_tf, c * ln(big / df) AS tfidf, ln(big / df) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * dl / (t / big))) AS bm25
-FROM n JOIN d USING (doc_id) JOIN g USING (token), w""", lambda t: text.vocab_doc_token(_tokens(t), "doc_id", "token").drop("chi2"))
-q("vocab_cooccurrences", """WITH k AS (SELECT conv_id, turn, role AS token, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS other FROM conversations), p AS (SELECT least(token, other) AS token1, greatest(token, other) AS token2, count(*) AS count FROM k WHERE other IS NOT NULL GROUP BY ALL)
-SELECT token1, token2, count FROM p""", lambda t: text.cooccurrences(t.conversations, "conv_id", "role", "turn").select("token1", "token2", "count"))
-q("vocab_cooccurrence_distribution", None, lambda t: text.cooccurrence_distribution(text.cooccurrences(t.part.select("p_partkey", F.lower("p_type").alias("w")), "p_partkey", "w", "p_partkey", sep=" ", window_size=3)))
+w AS (SELECT sum(dl) AS t, count(*)::DOUBLE AS big FROM d) SELECT doc_id, token, c AS tf, gf * dl / t AS expected_tf, c * ln(big / df) AS tfidf, ln(big / df) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * dl / (t / big))) AS bm25,
+CASE WHEN c >= gf * dl / t THEN pow(c - gf * dl / t, 2) / (gf * dl / t) + pow(gf - c - gf * (t - dl) / t, 2) / (gf * (t - dl) / t) + pow(dl - c - (t - gf) * dl / t, 2) / ((t - gf) * dl / t) + pow(t - gf - dl + c - (t - gf) * (t - dl) / t, 2) / ((t - gf) * (t - dl) / t) END AS chi2
+FROM n JOIN d USING (doc_id) JOIN g USING (token), w""", lambda t: text.vocab_doc_token(_tokens(t), "doc_id", "token"))
+def _scored(pairs: str) -> str:
+    """In SQL, the scores of pairs(token1, token2, count)."""
+    return f"""WITH p AS ({pairs}), e AS (SELECT token1 AS token, count FROM p UNION ALL SELECT token2, count FROM p WHERE token1 <> token2), g AS (SELECT token, sum(count)::DOUBLE AS t FROM e GROUP BY 1),
+x AS (SELECT token1, token2, count, count::DOUBLE AS o, a.t AS x, b.t AS y, (SELECT sum(count) FROM p)::DOUBLE AS n FROM p JOIN g a ON token1 = a.token JOIN g b ON token2 = b.token),
+c AS (SELECT *, [o, x - o, y - o, n + o - x - y] AS v, [x * y / n, x * (n - y) / n, y * (n - x) / n, (n - x) * (n - y) / n] AS e FROM x),
+s AS (SELECT token1, token2, CAST(count AS BIGINT) AS count, e[1] AS expected_count,
+CASE WHEN o < e[1] THEN NULL WHEN len(list_filter(range(1, 5), lambda i: e[i] = 0 AND v[i] = 0)) > 0 THEN 0 WHEN list_min(e) = 0 THEN pow(v[1] - e[1], 2) / e[1] ELSE list_sum(list_transform(range(1, 5), lambda i: pow(v[i] - e[i], 2) / e[i])) END AS chi2,
+CASE WHEN len(list_filter(range(1, 5), lambda i: e[i] = 0 AND v[i] > 0)) > 0 THEN v[1] * ln(v[1] / e[1]) ELSE 2 * list_sum(list_transform(range(1, 5), lambda i: CASE WHEN v[i] > 0 THEN v[i] * ln(v[i] / e[i]) ELSE 0 END)) END AS "G2",
+log2(o * n / (x * y)) AS pmi, CASE WHEN o >= n THEN 1 ELSE log2(o * n / (x * y)) / -log2(o / n) END AS npmi FROM c)"""
+
+
+_NEXT = "SELECT least(token, other) AS token1, greatest(token, other) AS token2, count(*) AS count FROM (SELECT role AS token, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS other FROM conversations) WHERE other IS NOT NULL GROUP BY ALL"
+# words of names of parts, each name a bag of words
+_BAG = "WITH w AS (SELECT p_size, unnest(string_split(p_name, ' ')) AS t FROM part), b AS (SELECT p_size, t, count(*) AS n FROM w GROUP BY ALL) SELECT a.t AS token1, b.t AS token2, sum(CASE WHEN a.t = b.t THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END) AS count FROM b a JOIN b ON a.p_size = b.p_size AND a.t <= b.t GROUP BY ALL HAVING sum(CASE WHEN a.t = b.t THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END) > 0"
+
+
+q("vocab_cooccurrences", _scored(_NEXT) + " SELECT * FROM s", lambda t: text.cooccurrences(t.conversations, "conv_id", "role", "turn"))
+q("vocab_cooccurrence_bag", _scored(_BAG) + " SELECT * FROM s", lambda t: text.cooccurrences(t.part, "p_size", "p_name", "p_partkey", sep=" ", window_size=None))
+q("vocab_cooccurrence_significant", _scored(_BAG) + " SELECT * FROM s WHERE chi2 >= 3.84", lambda t: text.cooccurrences(t.part, "p_size", "p_name", "p_partkey", sep=" ", window_size=None, chi2=3.84))
+q("vocab_cooccurrence_distribution", _scored(_BAG) + """, u AS (SELECT token1, token2, count, expected_count, pmi, "G2" FROM s UNION ALL SELECT token2, token1, count, expected_count, pmi, "G2" FROM s WHERE token1 <> token2),
+k AS (SELECT token1 AS token, token2 AS context, greatest(pmi, 0) AS i, greatest("G2", 0) AS g FROM u), m AS (SELECT token, sum(i) AS i, sum(g) AS g FROM k WHERE token <> context GROUP BY 1), d AS (SELECT token1 AS token, count(*) AS d FROM u GROUP BY 1),
+b AS (SELECT u.token1, u.token2, u.count, u.expected_count FROM u JOIN d a ON token1 = a.token JOIN d z ON token2 = z.token WHERE token1 <> token2 AND (a.d < z.d OR (a.d = z.d AND token1 < token2))),
+h AS (SELECT token1, token2, any_value(count) AS count, any_value(expected_count) AS expected_count, sum(least(x.i, y.i)) AS i, sum(least(x.g, y.g)) AS g FROM b JOIN k x ON x.token = token1 AND x.context <> token1 JOIN k y ON y.token = token2 AND y.context = x.context GROUP BY 1, 2 HAVING sum(least(x.i, y.i)) > 0 OR sum(least(x.g, y.g)) > 0),
+r AS (SELECT * FROM h UNION ALL SELECT token2, token1, count, expected_count, i, g FROM h)
+SELECT token1, token2, count, expected_count, r.i / nullif(m.i, 0) AS "sd_I", r.g / nullif(m.g, 0) AS "sd_G2" FROM r JOIN m ON token1 = token""", lambda t: text.cooccurrence_distribution(t.part, "p_size", "p_name", "p_partkey", sep=" ", window_size=None))
 q("cluster_collisions", "WITH v AS (SELECT CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS value, count(*) AS count FROM events GROUP BY 1), k AS (SELECT regexp_replace(lower(value), '[^a-z0-9 ]', '', 'g') AS cluster, * FROM v) SELECT * FROM k QUALIFY count(*) OVER (PARTITION BY cluster) > 1",
   lambda t: text.cluster(t.events.select(F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("event_type")), "event_type"))
 
 # graphs
 
-# the edges of large quantities, and of the whole table
-_EDGES = "SELECT 'p' || l_partkey AS source, 's' || l_suppkey AS target, count(*) AS weight FROM lineitem WHERE l_quantity > 49 GROUP BY ALL"
-_ALL_EDGES = "SELECT 'p' || l_partkey AS source, 's' || l_suppkey AS target, count(*) AS weight FROM lineitem GROUP BY ALL"
+_EDGES = _ALL_EDGES = "SELECT 'p' || l_partkey AS source, 's' || l_suppkey AS target, count(*) AS weight FROM lineitem GROUP BY ALL"
 
 
 def _all_edges(lineitem: DataFrame) -> DataFrame:
@@ -223,7 +254,7 @@ def _all_edges(lineitem: DataFrame) -> DataFrame:
 
 
 def _edges(t: Tables) -> DataFrame:
-    return _all_edges(t.lineitem.filter("l_quantity > 49"))
+    return _all_edges(t.lineitem)
 
 
 q("network_edges", _EDGES, _edges)

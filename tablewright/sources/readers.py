@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import csv as _csv
 import re
 import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import durable
+
 #: Delimiters by extension.
 DELIMITERS = {"csv": ",", "tsv": "\t", "tab": "\t", "ssv": ";", "scsv": ";", "psv": "|", "cdx": " "}
 #: Lines that come before the table, and the columns of tables without a header.
@@ -58,18 +61,30 @@ def preambled(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return lines.select(*[F.get(parts, i).alias(n) for i, n in enumerate(names)])
 
 
-def skipped(spark: SparkSession, path: str, lines: int = 0, until: str | None = None, while_: str | None = None, sep: str | None = None) -> DataFrame:
-    """Delimited text after a number of lines, up to a line that matches, or lines that match. The files' first lines only."""
-    head = [r[0] for r in spark.read.text(path).limit(lines + 1000).collect()]
-    if until:
-        lines = next((i for i, x in enumerate(head) if re.search(until, x)), len(head))
-    elif while_:
-        lines = next((i for i, x in enumerate(head) if not re.search(while_, x)), len(head))
-    rows = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
-    names = head[lines].split(sep or delimiter(path))
-    fields = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    body = rows.filter(F.col("_at") > lines)  # the first file's first partition is numbered from 0 without gaps
-    return body.select(F.from_csv("value", fields.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", "), {"sep": sep or delimiter(path)}).alias("r")).select("r.*")
+def skipped(spark: SparkSession, path: str | list[str], lines: int = 0, until: str | None = None, while_: str | None = None, sep: str | None = None) -> DataFrame:
+    """Delimited text after a number of lines, from the first line that matches `until`, or from the first that doesn't match `while_`,
+    on: that line is the header. Every file is cut for itself, wherever in it the line is; the names are those of the first.
+
+    A file without such a line has no rows.
+    """
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    # a file's lines in order: by the place of their block, and by number within it
+    at = F.struct("_block", "_id")
+    if until or while_:
+        hits = read.filter(F.col("value").rlike(until) if until else ~F.col("value").rlike(while_))
+        starts = hits.groupBy("_file").agg(F.min_by(F.struct(at.alias("at"), "value"), at).alias("h"))
+    else:
+        near = Window.partitionBy("_file").orderBy(at)
+        first = read.filter(F.col("_block") == 0).withColumn("_n", F.row_number().over(near))
+        starts = first.filter(F.col("_n") == lines + 1).select("_file", F.struct(at.alias("at"), "value").alias("h"))
+    starts = durable(starts)
+    header = starts.orderBy("_file").first()
+    if header is None:
+        raise ValueError("no file has such a line")
+    sep = sep or delimiter(path if isinstance(path, str) else path[0])
+    fields = ", ".join("`" + n.replace("`", "``") + "` string" for n in next(_csv.reader([header.h.value], delimiter=sep)))
+    body = read.join(F.broadcast(starts), "_file").filter(at > F.col("h.at"))
+    return body.select(F.from_csv("value", fields, {"sep": sep}).alias("r")).select("r.*")
 
 
 def flattened(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,7 +18,18 @@ def csv(df: DataFrame, path: str, sep: str = ",", header: bool = True, quote: st
     writer = df.write.option("sep", sep).option("header", header).option("quote", quote).option("quoteAll", quote_all).option("escape", escape_char).option("emptyValue", "").option("nullValue", "")
     if compression:
         writer = writer.option("compression", compression)
-    writer.option("lineSep", "\r" if crlf else "\n").csv(path)
+    if not crlf:
+        writer.option("lineSep", "\n").csv(path)
+        return
+    # Spark's writer of delimited text takes separators of one character, that of lines any
+    shown = {"sep": sep, "quote": quote, "quoteAll": str(quote_all).lower(), "escape": escape_char, "emptyValue": "", "nullValue": ""}
+    rows = df.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), shown).alias("value"))
+    if header:
+        names = F.to_csv(F.struct(*[F.lit(c).alias(f"c{i}") for i, c in enumerate(df.columns)]), shown)
+        first = F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy(F.lit(1))) == 1
+        rows = rows.select(F.explode(F.when(first, F.array(names, F.col("value"))).otherwise(F.array("value"))).alias("value"))
+    out = rows.write.option("lineSep", "\r\n")
+    (out.option("compression", compression) if compression else out).text(path)
 
 
 def ndjson(df: DataFrame, path: str, nulls: bool = False) -> None:

@@ -44,20 +44,24 @@ def frequency(stream: DataFrame, column: str) -> DataFrame:
     return stream.groupBy(F.lit(column).alias("field"), value.alias("value")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def running_sum(stream: DataFrame, group: str, order: str, value: str, name: str = "cumsum") -> DataFrame:
-    """Rows with the sum of their group so far, in the order in which batches bring them; the state is one number a group."""
+def running_sum(stream: DataFrame, group: str, order: str, value: str, name: str = "cumsum", idle: str | None = None) -> DataFrame:
+    """Rows with the sum of their group so far. Rows that a trigger brings are put in order first, all of a group; the state is one
+    number a group, dropped once a group has brought nothing for `idle` of processing time, if that is given."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         total = state.get[0] if state.exists else 0.0
-        for batch in batches:
-            batch = batch.sort_values(order)
-            batch[name] = total + batch[value].fillna(0).cumsum()
-            total = float(batch[name].iloc[-1])
-            yield batch
-        state.update((total,))
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        rows[name] = total + rows[value].fillna(0).cumsum()
+        state.update((float(rows[name].iloc[-1]),))
+        if idle:
+            state.setTimeoutDuration(idle)
+        yield rows
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
-    return stream.groupBy(group).applyInPandasWithState(run, f"{fields}, `{name}` double", "total double", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(group).applyInPandasWithState(run, f"{fields}, `{name}` double", "total double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def collected(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
