@@ -106,7 +106,7 @@ q("language_approximate", "SELECT event_type, true AS near, true AS middle FROM
 # windows
 
 _EV = "PARTITION BY user_id ORDER BY event_id"
-q("language_windows", f"""SELECT event_id, row_number() OVER w - 1 AS i, CASE WHEN row_number() OVER (w) >= 4 THEN list_var_pop(list(value) OVER (w ROWS 3 PRECEDING)) END AS v, CASE WHEN row_number() OVER (w) >= 4 THEN list_stddev_pop(list(value) OVER (w ROWS 3 PRECEDING)) END AS s, CASE WHEN row_number() OVER (w) >= 2 THEN avg(value) OVER (w ROWS 1 PRECEDING) END AS a FROM events WINDOW w AS ({_EV})""",
-  lambda t: aggregate.window(t.events, "row_index() as i, rolling_var(4, value) as v, rolling_stddev(4, value) as s, rolling_avg(2, value) as a", "event_id", "user_id").select("event_id", "i", "v", "s", "a"))
+q("language_windows", f"""SELECT event_id, row_number() OVER w - 1 AS i, CASE WHEN row_number() OVER (w) >= 5 THEN list_var_pop(list(value) OVER (w ROWS 4 PRECEDING)) END AS v, CASE WHEN row_number() OVER (w) >= 5 THEN list_stddev_pop(list(value) OVER (w ROWS 4 PRECEDING)) END AS s, CASE WHEN row_number() OVER (w) >= 2 THEN avg(value) OVER (w ROWS 1 PRECEDING) END AS a FROM events WINDOW w AS ({_EV})""",
+  lambda t: aggregate.window(t.events, "row_index() as i, rolling_var(5, value) as v, rolling_stddev(5, value) as s, rolling_avg(2, value) as a", "event_id", "user_id").select("event_id", "i", "v", "s", "a"))
 q("language_front_coding", """WITH n AS (SELECT s_suppkey, s_name, coalesce(lag(s_name) OVER (ORDER BY s_name), '') AS p FROM supplier), k AS (SELECT *, len(list_filter(range(1, 1 + least(length(s_name), length(p))), lambda i: left(s_name, i::INT) = left(p, i::INT))) AS n FROM n)
 SELECT s_suppkey, n || ' ' || substr(s_name, n + 1) AS c FROM k""", lambda t: aggregate.window(t.supplier, "front_coding(s_name) as c", "s_name").select("s_suppkey", "c"))

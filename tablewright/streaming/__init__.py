@@ -53,7 +53,7 @@ def running_sum(stream: DataFrame, group: str, order: str, value: str, name: str
             state.remove()
             return
         total = state.get[0] if state.exists else 0.0
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        rows = pd.concat([b for b in batches if len(b)]).sort_values(order, kind="stable")
         rows[name] = total + rows[value].fillna(0).cumsum()
         state.update((float(rows[name].iloc[-1]),))
         if idle:
