@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.aggregates import Aggregation
 from ..functions.compiler import select_names
 from ..functions.syntax import parse_clauses
-from .order import numbered, order_struct, window
+from .order import numbered, order_struct, ranged, window
 
 
 #: Columns that a pivot makes at most.
@@ -122,35 +122,54 @@ def transpose(df: DataFrame, index: str | None = None) -> DataFrame:
     return df.select(*[_at(n).cast("string").alias(n) for n in names]).transpose(F.col(f"`{index or names[0]}`"))
 
 
+#: Missing values that are listed at a time.
+LISTED = 4096
+
+
 def complete(df: DataFrame, column: str, group: str | None = None, low=None, high=None, unit: str | None = None) -> DataFrame:
-    """df with rows added for missing integers, or dates by year, month or day. Bounds are the table's, given ones clip it."""
+    """df with rows added for missing integers, or dates by year, month or day. Bounds are the table's, given ones clip it.
+
+    Each value is looked at with the next one there is, and what is missing between the two is listed, in pieces: no task
+    lists the whole range.
+    """
     names = select_names(df, group) if group else []
     formats = {"year": "yyyy", "month": "yyyy-MM", "day": "yyyy-MM-dd"}
-    if unit:
-        pad = {"year": "-01-01", "month": "-01", "day": ""}[unit]
-        cell = F.to_date(F.concat(_at(column).cast("string"), F.lit(pad)))
-        low, high = (F.to_date(F.lit(f"{x}{pad}")) if x is not None else None for x in (low, high))
-        step = F.expr(f"interval 1 {unit}")
-    else:
-        cell, step = _at(column).cast("long"), F.lit(1).cast("long")
-        low, high = (F.lit(x).cast("long") if x is not None else None for x in (low, high))
-    rows = df.withColumn("_key", cell)
+
+    def number(x: Column) -> Column:
+        if not unit:
+            return x.cast("long")
+        d = F.to_date(F.concat(x.cast("string"), F.lit({"year": "-01-01", "month": "-01", "day": ""}[unit])))
+        made = F.datediff(d, F.lit("1970-01-01")) if unit == "day" else F.year(d) * 12 + F.month(d) - 1 if unit == "month" else F.year(d)
+        return made.cast("long")
+
+    bound = lambda x, f: F.coalesce(number(F.lit(x)) if x is not None else F.lit(None).cast("long"), f("_key"))
+    rows = df.withColumn("_key", number(_at(column))).filter("_key is not null")
     if low is not None:
-        rows = rows.filter(F.col("_key") >= low)
+        rows = rows.filter(F.col("_key") >= number(F.lit(low)))
     if high is not None:
-        rows = rows.filter(F.col("_key") <= high)
-    ends = rows.agg((low if low is not None else F.min("_key")).alias("a"), (high if high is not None else F.max("_key")).alias("b"))
-    every = ends.filter("a is not null").select(F.explode(F.sequence("a", "b", step)).alias("_every"))
+        rows = rows.filter(F.col("_key") <= number(F.lit(high)))
+    ends = rows.agg(bound(low, F.min).alias("a"), bound(high, F.max).alias("b")).filter("a is not null and b is not null")
+    mark = F.explode(F.array(F.col("a") - 1, F.col("b") + 1)).alias("_key")
+    keys = rows.select(*[_at(n) for n in names], "_key").distinct()
     if names:
-        groups = rows.select(*[_at(n).alias(f"_g{i}") for i, n in enumerate(names)]).distinct()
-        every = groups.crossJoin(F.broadcast(every))
-    test = F.col("_every") == F.col("_key")
-    for i, n in enumerate(names):
-        test = test & F.col(f"_g{i}").eqNullSafe(_at(n))
-    joined = every.join(rows, test, "left")
-    kind = df.schema[column].dataType
-    shown = F.date_format("_every", formats[unit]).cast(kind) if unit and kind.simpleString() != "date" else F.col("_every").cast(kind)
-    return joined.select(*[shown.alias(c) if c == column else F.col(f"_g{names.index(c)}").alias(c) if c in names else _at(c) for c in df.columns])
+        every = keys.union(keys.select(*[_at(n) for n in names]).distinct().crossJoin(F.broadcast(ends)).select(*[_at(n) for n in names], mark))
+        every = every.withColumn("_next", F.lead("_key").over(Window.partitionBy(*[_at(n) for n in names]).orderBy("_key")))
+    else:
+        placed = ranged(keys.union(ends.select(mark)), "_key")
+        firsts = placed.groupBy("_range").agg(F.min("_key").alias("_first"))
+        after = firsts.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_after"))
+        inside = F.lead("_key").over(Window.partitionBy("_range").orderBy("_key"))
+        every = placed.withColumn("_inside", inside).join(F.broadcast(after), "_range").withColumn("_next", F.coalesce("_inside", "_after"))
+    gaps = every.filter("_next > _key + 1").withColumn("_low", F.explode(F.sequence(F.col("_key") + 1, F.col("_next") - 1, F.lit(LISTED).cast("long"))))
+    absent = gaps.select(*[_at(n) for n in names], F.explode(F.sequence(F.col("_low"), F.least(F.col("_low") + LISTED, F.col("_next")) - 1)).alias("_key"))
+    out = rows.unionByName(absent, allowMissingColumns=True)
+    kind, key = df.schema[column].dataType, F.col("_key").cast("int")
+    if not unit:
+        shown = F.col("_key").cast(kind)
+    else:
+        date = F.date_add(F.lit("1970-01-01").cast("date"), key) if unit == "day" else F.make_date(F.expr("cast(_key div 12 as int)"), (key % 12) + 1, F.lit(1)) if unit == "month" else F.make_date(key, F.lit(1), F.lit(1))
+        shown = date.cast(kind) if kind.simpleString() == "date" else F.date_format(date, formats[unit]).cast(kind)
+    return out.select(*[shown.alias(c) if c == column else _at(c) for c in df.columns])
 
 
 def missing(df: DataFrame, column: str, group: str | None = None, **options) -> DataFrame:

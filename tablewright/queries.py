@@ -121,6 +121,8 @@ q("groupby_keep_totals", "SELECT o_orderstatus, arg_min(o_orderpriority, o_order
 q("frequency_top", """WITH c AS (SELECT o_orderpriority AS value, count(*) AS count FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY count DESC, value) AS k FROM c)
 SELECT 'o_orderpriority' AS field, value, count FROM r WHERE k <= 3 UNION ALL SELECT 'o_orderpriority', '<rest>', CAST(sum(count) AS BIGINT) FROM r WHERE k > 3 HAVING sum(count) > 0""", lambda t: aggregate.frequency(t.orders, "o_orderpriority", 3))
 q("frequency_all", "SELECT 'lang' AS field, lang AS value, count(*) AS count FROM documents GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY 2", lambda t: aggregate.frequency(t.documents, "lang,source", None))
+q("frequency_large", """WITH c AS (SELECT l_quantity::VARCHAR AS value, count(*) AS count FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY count DESC, value) AS k FROM c)
+SELECT 'l_quantity' AS field, value, count FROM r WHERE k <= 10 UNION ALL SELECT 'l_quantity', '<rest>', CAST(sum(count) AS BIGINT) FROM r WHERE k > 10 HAVING sum(count) > 0""", lambda t: aggregate.frequency(t.lineitem, "l_quantity", 10))
 q("frequency_approximate", None, lambda t: aggregate.frequency(t.lineitem, "l_returnflag", 3, approx=True))
 q("stats_numbers", """SELECT 'l_quantity' AS field, count(l_quantity) AS count, 0 AS count_empty, 'float' AS type, 'float' AS types, sum(l_quantity) AS sum, avg(l_quantity) AS mean, var_pop(l_quantity) AS variance, stddev_pop(l_quantity) AS stddev, min(l_quantity) AS min, max(l_quantity) AS max, min(l_quantity::VARCHAR) AS lex_first, max(l_quantity::VARCHAR) AS lex_last, min(length(l_quantity::VARCHAR)) AS min_length, max(length(l_quantity::VARCHAR)) AS max_length FROM lineitem
 UNION ALL SELECT 'l_tax', count(l_tax), 0, 'float', 'float', sum(l_tax), avg(l_tax), var_pop(l_tax), stddev_pop(l_tax), min(l_tax), max(l_tax), min(l_tax::VARCHAR), max(l_tax::VARCHAR), min(length(l_tax::VARCHAR)), max(length(l_tax::VARCHAR)) FROM lineitem""", lambda t: aggregate.stats(t.lineitem, "l_quantity,l_tax"))

@@ -24,13 +24,12 @@ def smallest(edges):
 
 
 def shapes():
-    rnd, n = random.Random(4), 600
+    rnd, n = random.Random(4), 256
     mixed = list(range(n))
     rnd.shuffle(mixed)
     last = [*range(2, n + 1), 1]
     zigzag = [x for i in range(n // 2) for x in (i, n - 1 - i)]
     yield "ascending", list(zip(range(n), range(1, n), strict=False))
-    yield "descending", [(n - i, n - i - 1) for i in range(n)]
     yield "smallest last", list(zip(last, last[1:], strict=False))
     yield "mixed", list(zip(mixed, mixed[1:], strict=False))
     yield "zigzag", list(zip(zigzag, zigzag[1:], strict=False))
