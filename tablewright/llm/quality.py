@@ -6,7 +6,7 @@ learn from labelled documents. Then, in each of ROUNDS rounds, both label the do
 calibration, for the other to learn from. At last both are calibrated (Platt) on labelled documents held back from
 learning, a logistic combination of the calibrated views is fitted on the same, and all documents are scored.
 
-The unlabelled documents are the whole table: each round scores a new part of it, so that each document is scored once.
+The unlabelled documents are the whole table but for the labelled ones that models are fitted on: each round scores a new part of it, so that each document is scored once.
 Of the documents of which a view is confident, those of the smallest hash are learned from, EACH of a class, view and round.
 Models are fitted on the driver, on LABELLED documents and these at most; the LABELLED ones are those of the smallest hash of their
 id. Draws depend on the rows alone, so reruns agree. Scoring is one pass over all documents, without a shuffle.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .durable import durable, few, remove, scratch
+from .durable import durable, remove, scratch
 from .textscan import Words, mix64, slices, span_hashes, text_bytes
 
 #: Labelled documents at most that models are fitted on, and those that a view labels for the other, of each class and round.
@@ -281,8 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, each: int = EA
     if not 0 < y.sum() < len(y):
         return Model(None, None, None)
     training = Training(_views(table), y)
-    marked = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").alias("l_id")).distinct()
-    unlabelled = wide.join(few(durable(marked)), F.col("doc_id").eqNullSafe(F.col("l_id")), "left_anti").withColumn("draw", draw_of("doc_id", "text"))
+    # labels that none is fitted on are not looked at: their documents are as unlabelled as others
+    unlabelled = wide.join(chosen.select("l_id"), F.col("doc_id") == F.col("l_id"), "left_anti").withColumn("draw", draw_of("doc_id", "text"))
     for k in range(rounds):
         part = unlabelled.filter((F.col("draw") >= k / rounds) & (F.col("draw") < (k + 1) / rounds)).withColumn("draw", F.col("draw") * rounds - k)
         path = scratch(docs.sparkSession, "confident")

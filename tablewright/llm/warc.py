@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .durable import durable, few
+
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
 SEGMENT, CHUNK = 16 << 10, 4 << 10
@@ -39,8 +41,13 @@ def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
     p = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256)).withColumn("key", F.when(F.octet_length("payload") >= least, F.col("digest")))
     firsts = p.filter("key is not null").groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # few payloads repeat: where their digests fit, pages with their payloads needn't be dealt by them
+    firsts = few(durable(firsts))
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return p.join(firsts, "key", "left").select("page_id", "url", F.when(~other, F.col("payload")).alias("payload"), "digest", F.when(other, F.col("first")).alias("first"))
+    # payloads too short to be compared have keys of their own, not all one
+    alone = F.concat(F.lit("-"), F.pmod(F.xxhash64("page_id", "payload"), F.lit(4096)).cast("string"))
+    p = p.withColumn("key", F.coalesce("key", alone)).join(firsts, "key", "left")
+    return p.select("page_id", "url", F.when(~other, F.col("payload")).alias("payload"), "digest", F.when(other, F.col("first")).alias("first"))
 
 
 def _record_id(page_id: int | None, digest: str, part: int = 1) -> str:
