@@ -12,7 +12,8 @@ from ..functions.aggregates import AGGREGATES, Aggregation
 from ..functions.compiler import named, select_names
 from ..functions.syntax import parse_clauses
 from ..functions.values import Val, kind_of, number, present
-from .order import numbered, order_struct
+from ..storage import durable
+from .order import numbered, order_struct, runs
 
 
 #: Columns that a matrix has at most.
@@ -65,21 +66,24 @@ def _along(df: DataFrame, source: str, columns: list[str], options: dict) -> lis
 def _along_rows(df: DataFrame, source: str, spec: str) -> DataFrame:
     cells = F.array(*[_at(n) for n in select_names(df, spec)])
     item = F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("cell")
-    keyed = df.withColumn("_id", F.monotonically_increasing_id())
+    keyed = durable(df.withColumn("_id", F.monotonically_increasing_id()))  # the numbers are read twice
     flat = keyed.select("_id", item)
     made = _spread(flat.groupBy("_id"), ["_id"], aggregates.pairs(flat, source, under="cell"))
     return keyed.join(made, "_id", "left").drop("_id")
 
 
-def groupby(df: DataFrame, spec: str, source: str, order_by=None, keep: str | None = None, totals: bool = False, along_columns: str | None = None) -> DataFrame:
+def groupby(df: DataFrame, spec: str, source: str, order_by=None, keep: str | None = None, totals: bool = False, along_columns: str | None = None, in_runs: bool = False) -> DataFrame:
     """Aggregates by group, groups in the order in which they first occur if order_by is given. keep: columns of the group's
-    first row; totals: the whole table's aggregates appended to each row."""
+    first row; totals: the whole table's aggregates appended to each row; in_runs: of a table in order, a row for each run
+    of equal keys, so that a key that comes again later has another."""
     names = select_names(df, spec)
+    run = ["_run"] if in_runs else []
+    df = runs(df, names, order_by) if in_runs else df
     rows, options = _options(df, source, order_by)
     made = _along(rows, source, select_names(df, along_columns), options) if along_columns else aggregates.pairs(rows, source, **options)
     extra = [(n, F.min_by(_at(n), order_struct(order_by))) for n in select_names(df, keep)] if keep else []
     first = [("_first", F.min(order_struct(order_by)))] if order_by else []
-    out = _spread(rows.groupBy(*[_at(n) for n in names]), names, [*extra, *made, *first])
+    out = _spread(rows.groupBy(*run, *[_at(n) for n in names]), names, [*extra, *made, *first])
     if order_by:
         out = out.orderBy("_first").drop("_first")
     if totals:

@@ -75,6 +75,20 @@ def component_sizes(edges: DataFrame) -> DataFrame:
     return labelled.groupBy("component").agg(F.count(F.lit(1)).alias("component_size")).select("component_size", F.col("component").alias("arbitrary_node")).orderBy(F.desc("component_size"), "arbitrary_node")
 
 
+def largest(edges: DataFrame) -> DataFrame:
+    """The edges of the largest component, of several as large that of the smallest node."""
+    labelled = durable(nodes(edges, component=True))
+    best = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    inside = labelled.join(F.broadcast(best), "component", "left_semi").select(F.col("node").alias("source"))
+    return edges.join(inside, "source", "left_semi")
+
+
+def described(edges: DataFrame, table: DataFrame, node: str) -> DataFrame:
+    """The nodes of an edge list and of a table of them, with the table's columns; nodes without a row have none."""
+    found = edges.select(F.col("source").alias(node)).union(edges.select("target")).distinct()
+    return found.join(table.withColumn(node, F.col(f"`{node}`").cast("string")), node, "full")
+
+
 def statistics(edges: DataFrame, undirected: bool = False) -> DataFrame:
     """One row: type, nodes, edges, is_multi, has_self_loops, density, connected_components, largest_component."""
     e = edges.agg(F.count(F.lit(1)).alias("edges"), F.coalesce(F.bool_or(F.col("weight") > 1), F.lit(False)).alias("is_multi"), F.coalesce(F.bool_or(F.col("source") == F.col("target")), F.lit(False)).alias("has_self_loops"))

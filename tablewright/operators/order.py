@@ -35,6 +35,24 @@ def numbered(df: DataFrame, order_by: str | list[str], name: str = "_row") -> Da
     return out.withColumn(name, F.col("_offset") + F.col("_within")).drop("_range", "_within", "_offset")
 
 
+def runs(df: DataFrame, keys: list[str], order_by: str | list[str], name: str = "_run") -> DataFrame:
+    """df with `name`, the number of the run of rows with equal keys, in order, that a row is in. Runs are told apart within ranges
+    of the order; whether one goes on from a range to the next, the ranges' first and last keys say."""
+    key = F.struct(*[F.col(f"`{k}`") for k in keys])
+    rows_in_order = Window.partitionBy("_range").orderBy("_within")
+    fresh = F.when(F.col("_within") > 0, ~key.eqNullSafe(F.lag(key).over(rows_in_order))).otherwise(F.lit(False)).cast("long")
+    placed = ranged(df, order_by).withColumn("_fresh", fresh)
+    ends = placed.groupBy("_range").agg(F.sum("_fresh").alias("_n"), F.min_by(key, "_within").alias("_first"), F.max_by(key, "_within").alias("_last"))
+    ranges = Window.orderBy("_range")
+    goes_on = F.coalesce(F.col("_first").eqNullSafe(F.lag("_last").over(ranges)), F.lit(False)) & F.lag("_range").over(ranges).isNotNull()
+    ends = ends.withColumn("_begins", F.when(goes_on, 0).otherwise(1))
+    before = F.coalesce(F.sum(F.col("_n") + F.col("_begins")).over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("_range", (before + F.col("_begins")).alias("_base"))
+    counted = placed.withColumn("_upto", F.sum("_fresh").over(rows_in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = counted.join(F.broadcast(ends), "_range").withColumn(name, F.col("_base") + F.col("_upto"))
+    return out.drop("_range", "_within", "_fresh", "_upto", "_base")
+
+
 def window(group: list[str] | None, order_by: str | list[str]) -> Window:
     """Rows of a group in order; without groups all rows are one, which only small tables should be."""
     return Window.partitionBy(*(group or [])).orderBy(order_struct(order_by))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import streaming
-from .operators import aggregate, reshape, rows, scrape
+from .operators import aggregate, graph, reshape, rows, scrape
 from .queries import Tables, q
 from .sources import readers, writers
 from .storage import scratch
@@ -76,6 +76,8 @@ q("source_ndjson", "SELECT p_partkey, p_name, p_size::BIGINT AS p_size, p_retail
 q("source_ndjson_nested", "SELECT n_nationkey::BIGINT AS \"a.k\", n_name AS \"a.n\" FROM nation", lambda t: readers.ndjson(t.spark, _ndjson(t, t.nation.select(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n")).alias("a")))))
 q("source_json_array", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region", lambda t: readers.json(t.spark, _lines(t, t.spark.createDataFrame([(writers.json(t.region),)], "value string"))))
 q("source_json_root", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region", lambda t: readers.json(t.spark, _lines(t, t.spark.createDataFrame([('{"data": {"rows": ' + writers.json(t.region) + "}}",)], "value string")), root="data.rows"))
+q("source_json_entries", "SELECT r_name AS name, r_regionkey::VARCHAR AS number FROM region", lambda t: readers.entries(t.spark, _lines(t, t.region.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("r_name", "r_regionkey")))).alias("value"))), "name", "number"))
+q("source_json_objects", "SELECT n_name AS \"a.n\", n_nationkey::BIGINT AS k FROM nation", lambda t: readers.single(t.spark, _apart(t, t.nation.select("n_nationkey", F.to_json(F.struct(F.struct(F.col("n_name").alias("n")).alias("a"), F.col("n_nationkey").alias("k"))).alias("value")))))
 q("source_txt", "SELECT p_name AS line FROM part", lambda t: readers.txt(t.spark, _text(t, t.part.select("p_name"))))
 q("source_markdown", "SELECT r_regionkey::VARCHAR AS r_regionkey, r_name FROM region", lambda t: readers.markdown(t.spark, _lines(t, t.spark.createDataFrame([(writers.markdown(t.region),)], "value string"))))
 q("source_integers", "SELECT unnest(range(3, 1000, 7)) AS n", lambda t: readers.integers(t.spark, 1000, 3, 7))
@@ -89,6 +91,13 @@ def _text(t: Tables, df: DataFrame) -> str:
     return path
 
 
+def _apart(t: Tables, df: DataFrame) -> str:
+    """A pattern of files, each of one row's text: df(key, value)."""
+    path = scratch(t.spark, "apart")
+    df.repartition(4).write.partitionBy(df.columns[0]).text(path)
+    return f"{path}/*/*.txt"
+
+
 # rows of whole tables that other queries leave out
 
 q("rows_reversed", "SELECT n_nationkey, n_name FROM nation", lambda t: rows.reverse(t.nation.select("n_nationkey", "n_name"), "n_nationkey"))
@@ -110,8 +119,6 @@ _CHAIN = "SELECT s_name AS source, n_name AS target FROM supplier JOIN nation ON
 
 
 def _chain(t: Tables) -> DataFrame:
-    from .operators import graph
-
     supplier, nation, region = t.supplier, t.nation, t.region
     low = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(F.col("s_name").alias("source"), F.col("n_name").alias("target"))
     high = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_name", "r_name")
@@ -122,20 +129,24 @@ _BY_REGION = "SELECT r_name AS c, s_name AS node FROM supplier JOIN nation ON s_
 
 
 def _graph(name: str, sql: str, f) -> None:
-    from .operators import graph
+    q(name, sql, lambda t: f(_chain(t)))
 
-    q(name, sql, lambda t: f(graph, _chain(t)))
 
-
-_graph("network_chained_components", f"SELECT count(*) AS component_size, min(node) AS arbitrary_node FROM ({_BY_REGION}) GROUP BY c", lambda graph, e: graph.component_sizes(e))
-_graph("network_chained_nodes", f"SELECT node, min(node) OVER (PARTITION BY c) AS component FROM ({_BY_REGION})", lambda graph, e: graph.nodes(e, component=True))
+_graph("network_chained_components", f"SELECT count(*) AS component_size, min(node) AS arbitrary_node FROM ({_BY_REGION}) GROUP BY c", lambda e: graph.component_sizes(e))
+_graph("network_chained_nodes", f"SELECT node, min(node) OVER (PARTITION BY c) AS component FROM ({_BY_REGION})", lambda e: graph.nodes(e, component=True))
 _graph("network_chained_stats", f"""WITH e AS ({_CHAIN}), n AS ({_BY_REGION}), c AS (SELECT c, count(*) AS k FROM n GROUP BY 1) SELECT 'directed' AS type, (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, false AS is_multi, false AS has_self_loops,
-(SELECT count(*) FROM e) / ((SELECT count(*) FROM n) * ((SELECT count(*) FROM n) - 1)) AS density, count(*) AS connected_components, max(k) AS largest_component FROM c""", lambda graph, e: graph.statistics(e))
+(SELECT count(*) FROM e) / ((SELECT count(*) FROM n) * ((SELECT count(*) FROM n) - 1)) AS density, count(*) AS connected_components, max(k) AS largest_component FROM c""", lambda e: graph.statistics(e))
+
+_graph("network_largest", f"WITH n AS ({_BY_REGION}), b AS (SELECT c FROM n GROUP BY c ORDER BY count(*) DESC, min(node) LIMIT 1) SELECT source, target, 1 AS weight FROM ({_CHAIN}) WHERE source IN (SELECT node FROM n JOIN b USING (c))", lambda e: graph.largest(e))
+q("network_described", f"WITH e AS ({_CHAIN}), x AS (SELECT source AS n_name FROM e UNION SELECT target FROM e) SELECT n_name, n_nationkey, n_regionkey FROM x FULL JOIN nation USING (n_name)", lambda t: graph.described(_chain(t), t.nation, "n_name"))
+q("groupby_runs", "WITH r AS (SELECT *, row_number() OVER (ORDER BY event_id) - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS run FROM events) SELECT event_type, min(event_id) AS first, count(*) AS n, sum(value) AS s FROM r GROUP BY event_type, run",
+  lambda t: aggregate.groupby(t.events, "event_type", "min(event_id) as first, count() as n, sum(value) as s", order_by="event_id", in_runs=True))
 
 # pages
 
 _TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
 q("scrape_titles", f"SELECT page_id, trim(replace({_TITLE}, '&amp;', '&')) AS title, '' AS canonical_url FROM pages", lambda t: scrape.head(t.pages.select("page_id", "html"), "html"))
+q("scrape_files", f"SELECT page_id, trim(replace({_TITLE}, '&amp;', '&')) AS title FROM pages", lambda t: scrape.head(readers.pages(t.spark, _apart(t, t.pages.select("page_id", "html"))), "html").select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), "title"))
 q("scrape_links", "SELECT page_id, 'http://example.com' || unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS url FROM pages", lambda t: scrape.urls(t.pages.select("page_id", "html"), "html", "http://example.com/"))
 q("scrape_pictures", "SELECT page_id, '/i/' || page_id || '.png' AS src FROM pages UNION ALL SELECT page_id, 'x.gif' FROM pages", lambda t: scrape.images(t.pages.select("page_id", F.concat(F.lit("<img src='/i/"), F.col("page_id").cast("string"), F.lit(".png'>"), "html", F.lit("<p><img alt='no'><IMG src=x.gif></p>")).alias("html")), "html"))
 q("scrape_fields", f"SELECT page_id, regexp_extract(html, '<html lang=\"(\\w+)\"', 1) AS lang, trim(replace({_TITLE}, '&amp;', '&')) AS title, regexp_extract(html, '<a href=\"([^\"]*)\"', 1) AS first FROM pages",

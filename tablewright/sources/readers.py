@@ -105,6 +105,22 @@ def json(spark: SparkSession, path: str, root: str | None = None, lines: bool =
     return flattened(df)
 
 
+def entries(spark: SparkSession, path: str, key: str = "key", value: str = "value") -> DataFrame:
+    """A file that holds one JSON object, as a row for each of its entries; values that are no text as JSON."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, value))
+
+
+def single(spark: SparkSession, path: str) -> DataFrame:
+    """Files that hold one JSON object each, as a row each, nested fields as columns joined by dots."""
+    return json(spark, path)
+
+
+def pages(spark: SparkSession, path: str | list[str], name: str = "html") -> DataFrame:
+    """Files of a folder or pattern, a row each: path and the whole text."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias(name))
+
+
 def ndjson(spark: SparkSession, path: str) -> DataFrame:
     return json(spark, path, lines=True)
 
