@@ -34,7 +34,7 @@ from .textscan import slices
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the tokenizer's publishers cut text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES, BLOCKS_A_TASK = 1 << 20, 32
 
 _loaded: dict[int, object] = {}
 
@@ -101,8 +101,10 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> tuple[
 def flat_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """file (its path), block, data of flat files: every block is read by itself, whatever the size of its file."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")  # no content is read for these
+    blocks = files.agg(F.sum(F.ceil(F.col("length") / float(block_bytes)))).first()[0] or 0
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(block_bytes).cast("long")))
-    ranges = files.filter("length > 0").select("file", starts.alias("at")).repartition("file", "at")
+    # rows that name blocks are few bytes: a stated number keeps Spark from putting all of them into one task
+    ranges = files.filter("length > 0").select("file", starts.alias("at")).repartition(max(1, -(-int(blocks) // BLOCKS_A_TASK)), "file", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
