@@ -130,10 +130,12 @@ q("stats_texts", "SELECT 'c_name' AS field, count(*) AS count, 'string' AS type,
   lambda t: aggregate.stats(t.customer, "c_name", cardinality=True).select("field", "count", "type", "lex_first", "lex_last", "min_length", "max_length", "cardinality"))
 q("bins_exact", """WITH e AS (SELECT min(value) AS a, max(value) AS b FROM events) SELECT 'value' AS field, a + k * ((b - a) / 5) AS lower_bound, count(*) AS count
 FROM (SELECT a, b, least(floor((value - a) / ((b - a) / 5)), 4) AS k FROM events, e) GROUP BY ALL""", lambda t: aggregate.bins(t.events, "value", 5, exact=True).drop("value"))
-q("bins_nice", None, lambda t: aggregate.bins(t.orders, "o_totalprice", 10))
+q("bins_nice", """WITH e AS (SELECT min(o_totalprice) AS a, (max(o_totalprice) - min(o_totalprice)) / 10 AS raw FROM orders), p AS (SELECT *, pow(10, floor(log10(raw))) AS p FROM e), s AS (SELECT a, list_filter([1, 2, 5, 10], lambda m: m * p >= raw * (1 - 1e-12))[1] * p AS step FROM p)
+SELECT 'o_totalprice' AS field, floor(a / step) * step + k * step AS lower_bound, count(*) AS count FROM (SELECT a, step, floor((o_totalprice - floor(a / step) * step) / step) AS k FROM orders, s) GROUP BY ALL""", lambda t: aggregate.bins(t.orders, "o_totalprice", 10).drop("value"))
 q("matrix_counts", "SELECT o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS \"1-URGENT\", count(*) FILTER (o_orderpriority = '5-LOW') AS \"5-LOW\" FROM orders GROUP BY 1", lambda t: aggregate.matrix_count(t.orders, "o_orderstatus", "o_orderpriority", labels=["1-URGENT", "5-LOW"]))
 q("matrix_correlations", "SELECT 'l_quantity' AS \"column\", 1.0 AS l_quantity, corr(l_quantity, l_extendedprice) AS l_extendedprice FROM lineitem UNION ALL SELECT 'l_extendedprice', corr(l_extendedprice, l_quantity), 1.0 FROM lineitem", lambda t: aggregate.correlations(t.lineitem, "l_quantity,l_extendedprice"))
-q("matrix_adjacency", None, lambda t: aggregate.adjacency(t.nation, "n_name", "n_regionkey"))
+_NODES = [*(str(k) for k in range(5)), *(f"NATION_{k}" for k in range(25))]
+q("matrix_adjacency", "WITH e AS (SELECT n_name AS a, n_regionkey::VARCHAR AS b FROM nation), n AS (SELECT a AS node FROM e UNION SELECT b FROM e) SELECT node, " + ", ".join(f"nullif(count(*) FILTER (b = '{x}'), 0) AS \"{x}\"" for x in _NODES) + " FROM n LEFT JOIN e ON node = a GROUP BY node", lambda t: aggregate.adjacency(t.nation, "n_name", "n_regionkey"))
 
 # windows
 
@@ -163,7 +165,8 @@ q("cat_union", "SELECT n_nationkey, n_name, NULL AS r_name FROM nation UNION ALL
 q("cat_columns", "SELECT n_name, s_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation) JOIN (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier) USING (k)", lambda t: reshape.cat_columns(t.nation, t.supplier, "n_nationkey", "s_suppkey").select("n_name", "s_name"))
 q("merge_unique", "SELECT DISTINCT n_name AS name FROM nation UNION SELECT r_name FROM region", lambda t: reshape.merge(t.nation.select(F.col("n_name").alias("name")), t.region.select(F.col("r_name").alias("name")), t.region.select(F.col("r_name").alias("name")), key="name", unique=True))
 q("flatten_cells", "WITH r AS (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS row, * FROM region) SELECT row, 'r_name' AS field, r_name AS value FROM r UNION ALL SELECT row, 'r_regionkey', r_regionkey::VARCHAR FROM r", lambda t: reshape.flatten(t.region, "r_regionkey"))
-q("transpose_table", None, lambda t: reshape.transpose(t.region, "r_name"))
+_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+q("transpose_table", "SELECT 'r_regionkey' AS key, " + ", ".join(f"max(CASE WHEN r_name = '{x}' THEN r_regionkey::VARCHAR END) AS \"{x}\"" for x in _REGIONS) + " FROM region", lambda t: reshape.transpose(t.region, "r_name"))
 
 # search
 
@@ -271,9 +274,10 @@ q("network_bipartite", "SELECT 'n_name:' || n_name AS source, 'r_name:' || r_nam
 
 # pages
 
-q("scrape_head", None, lambda t: scrape.head(t.pages.select("page_id", "html"), "html"))
-q("scrape_urls", None, lambda t: scrape.urls(t.pages.select("page_id", "html"), "html", "http://example.com/"))
-q("scrape_images", None, lambda t: scrape.images(t.pages.select("page_id", "html"), "html"))
+_TITLE = "trim(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'))"
+q("scrape_head", f"SELECT page_id, {_TITLE} AS title, '' AS canonical_url FROM pages", lambda t: scrape.head(t.pages.select("page_id", "html"), "html"))
+q("scrape_urls", "SELECT page_id, 'http://example.com' || unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS url FROM pages", lambda t: scrape.urls(t.pages.select("page_id", "html"), "html", "http://example.com/"))
+q("scrape_images", "SELECT page_id, unnest(regexp_extract_all(html, '<img[^>]*src=\"([^\"]*)\"', 1)) AS src FROM pages", lambda t: scrape.images(t.pages.select("page_id", "html"), "html"))
 q("scrape_article", None, lambda t: scrape.article(t.pages.select("page_id", "html"), "html"))
 q("scrape_program", "SELECT page_id, regexp_extract(html, '<html lang=\"(\\w+)\"', 1) AS lang FROM pages", lambda t: scrape.scrape(t.pages.select("page_id", "html"), "html", 'lang: "html".attr("lang")'))
 

@@ -109,10 +109,6 @@ q("rows_transposed", "SELECT 'r_regionkey' AS key, " + ", ".join(f"max(CASE WHEN
   lambda t: reshape.transpose(t.region.select(F.concat(F.lit("c"), F.col("r_regionkey").cast("string")).alias("name"), "r_regionkey"), "name"))
 q("agg_along_rows", "SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, greatest(l_quantity, l_discount, l_tax) AS hi, l_quantity + l_discount + l_tax AS s, 3 AS n FROM lineitem",
   lambda t: aggregate.agg(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"), "max(cell) as hi, sum(cell) as s, count() as n", along_rows="l_quantity,l_discount,l_tax"))
-_NODES = [*(str(k) for k in range(5)), *(f"NATION_{k}" for k in range(25))]
-q("matrix_nodes", "WITH e AS (SELECT n_name AS a, n_regionkey::VARCHAR AS b FROM nation), n AS (SELECT a AS node FROM e UNION SELECT b FROM e) SELECT node, " + ", ".join(f"CAST(count(*) FILTER (b = '{x}') AS BIGINT) AS \"{x}\"" for x in _NODES) + " FROM n LEFT JOIN e ON node = a GROUP BY node",
-  lambda t: aggregate.adjacency(t.nation, "n_name", "n_regionkey").na.fill(0))
-
 # graphs of more than stars
 
 _CHAIN = "SELECT s_name AS source, n_name AS target FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"
@@ -145,9 +141,7 @@ q("groupby_runs", "WITH r AS (SELECT *, row_number() OVER (ORDER BY event_id) -
 # pages
 
 _TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
-q("scrape_titles", f"SELECT page_id, trim(replace({_TITLE}, '&amp;', '&')) AS title, '' AS canonical_url FROM pages", lambda t: scrape.head(t.pages.select("page_id", "html"), "html"))
 q("scrape_files", f"SELECT page_id, trim(replace({_TITLE}, '&amp;', '&')) AS title FROM pages", lambda t: scrape.head(readers.pages(t.spark, _apart(t, t.pages.select("page_id", "html"))), "html").select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), "title"))
-q("scrape_links", "SELECT page_id, 'http://example.com' || unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS url FROM pages", lambda t: scrape.urls(t.pages.select("page_id", "html"), "html", "http://example.com/"))
 q("scrape_pictures", "SELECT page_id, '/i/' || page_id || '.png' AS src FROM pages UNION ALL SELECT page_id, 'x.gif' FROM pages", lambda t: scrape.images(t.pages.select("page_id", F.concat(F.lit("<img src='/i/"), F.col("page_id").cast("string"), F.lit(".png'>"), "html", F.lit("<p><img alt='no'><IMG src=x.gif></p>")).alias("html")), "html"))
 q("scrape_fields", f"SELECT page_id, regexp_extract(html, '<html lang=\"(\\w+)\"', 1) AS lang, trim(replace({_TITLE}, '&amp;', '&')) AS title, regexp_extract(html, '<a href=\"([^\"]*)\"', 1) AS first FROM pages",
   lambda t: scrape.scrape(t.pages.select("page_id", "html"), "html", 'lang: "html".attr("lang")\ntitle: "title".text()\nfirst: "nav a".attr("href")'))
