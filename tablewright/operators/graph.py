@@ -8,7 +8,7 @@ from html import escape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import durable
+from ..storage import durable, few
 
 
 def edge_list(df: DataFrame, source: str, target: str, undirected: bool = False, weight: str | None = None) -> DataFrame:
@@ -43,15 +43,16 @@ def connected(edges: DataFrame) -> DataFrame:
     Alternating large and small stars: every node hangs its larger neighbours on the smallest node it knows, then itself
     and its smaller neighbours, until all edges lead to roots. Edges never grow in number, and rounds grow with the
     logarithm of the nodes (a path of 1024 takes about ten, whatever the order of its ids). Both steps are an
-    aggregate with partial results, joined back, so no task sees all neighbours of a node at once.
+    aggregate with partial results, joined back: where its nodes are few they are sent to all tasks, so that the edges of a hub
+    stay where they are; else Spark splits skewed partitions.
     """
     edges = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not _stars(edges):
         ends = edges.union(edges.select("b", "a"))
-        low = ends.groupBy(F.col("a").alias("b")).agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = durable(edges.join(low, "b").select("a", F.col("low").alias("b")).distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        lower = large.join(low, "a").filter("b <> low").select("b", "low")
+        low = durable(ends.groupBy(F.col("a").alias("b")).agg(F.least(F.min("b"), F.col("a")).alias("low")))
+        large = durable(edges.join(few(low), "b").select("a", F.col("low").alias("b")).distinct())
+        low = durable(large.groupBy("a").agg(F.min("b").alias("low")))
+        lower = large.join(few(low), "a").filter("b <> low").select("b", "low")
         edges = durable(low.union(lower).distinct().toDF("a", "b"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
