@@ -125,8 +125,9 @@ def _shared(owners: np.ndarray, filters: np.ndarray, left: int, right: slice, n:
     """[left item, right item]: whether the two have one of the filters (of item owners[k]: filters[k]) in common."""
     _, code = np.unique(filters, return_inverse=True)
     out = np.zeros((left, right.stop - right.start), bool)
-    width = max(1, CELLS // max(1, n))
-    for low in range(0, int(code.max(initial=-1)) + 1, width):
+    several = int(code.max(initial=-1)) + 1
+    width = max(1, min(several, CELLS // max(1, n)))
+    for low in range(0, several, width):
         here = (code >= low) & (code < low + width)
         has = np.zeros((n, width), np.float32)
         has[owners[here], code[here] - low] = 1
