@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import aggregates
 from ..functions.compiler import select_names
+from ..storage import remove, scratch
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,7 +66,18 @@ def running_sum(stream: DataFrame, group: str, order: str, value: str, name: str
 
 
 def collected(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All there is on a stream, run to its end into a table of the session."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """All there is on a stream, run to its end into files of the shared folder: rows go there from the tasks, none to the driver. In
+    complete mode the last trigger's rows are the result, in update mode those of all."""
+    spark, wrote = stream.sparkSession, []
+    path, state = scratch(spark, name), scratch(spark, f"{name}-state")
+    writer = stream.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", state).trigger(availableNow=True)
+
+    def write(rows: DataFrame, trigger: int) -> None:
+        wrote.append(f"{path}/{trigger}")
+        rows.write.mode("overwrite").parquet(wrote[-1])
+
+    query = writer.format("parquet").start(path) if mode == "append" else writer.foreachBatch(write).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    remove(spark, state)
+    kept = {"append": [path], "update": wrote, "complete": wrote[-1:]}[mode]
+    return spark.read.schema(stream.schema).parquet(*kept) if kept else spark.createDataFrame([], stream.schema)
