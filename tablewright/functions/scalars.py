@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -138,10 +139,19 @@ def _mod(c, x: Val, y: Val) -> Val:
 @function("pow")
 def _pow(c, x: Val, y: Val) -> Val:
     a, b = number(x, c.lenient), number(y, c.lenient)
-    p = F.pow(a.col, b.col)
-    if a.kind == b.kind == "int" and y.is_const and y.const >= 0:
-        return Val(p.cast("long"), "int")
-    return Val(p, "float")
+    if a.kind == b.kind == "int" and y.is_const and y.const is not None and y.const >= 0:
+        return Val(_whole_power(a.col.cast("long"), int(y.const), c.lenient), "int")
+    return Val(F.pow(a.col, b.col), "float")
+
+
+def _whole_power(x: Column, n: int, lenient: bool) -> Column:
+    """x to the n as a product of whole numbers: a double is exact up to 2 ** 53 only. Beyond 64 bits an error, or none if lenient."""
+    n = n if n <= 65 else 64 + n % 2  # only 0, 1 and -1 have such powers, and those repeat
+    times = F.try_multiply if lenient else lambda a, b: a * b
+    one = F.when(x.isNotNull(), F.lit(1).cast("long"))
+    if n <= 3:
+        return reduce(times, [x] * n) if n else one
+    return F.aggregate(F.array_repeat(x, n), one, times)
 
 
 @function("abs")
