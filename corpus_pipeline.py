@@ -24,7 +24,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents linked by a Jaccard similarity of 0.8 of their 5-word shingles that of the smallest doc_id."""
+    """Of each class of documents linked by SimHash fingerprints within 2 bits, or by a Jaccard similarity of 0.8 of their 5-word
+    shingles, that of the smallest doc_id."""
     return nearcopies.keep_one(docs)
 
 

@@ -1,7 +1,10 @@
-"""Near copies by exact Jaccard similarity of word shingles, for the corpus pipeline.
+"""Near copies by SimHash and by exact Jaccard similarity of word shingles, for the corpus pipeline.
 
-A document is the set of its distinct 5-word shingles; sets whose Jaccard similarity is SIMILAR or more link, and linked
-documents form classes. Equal sets are compared once. Others become candidates by MinHash: BANDS keys of ROWS minima each,
+Documents link whose fingerprints are within op4's radius, as `simhash` finds them by bit-sliced comparison. Near copies of a
+similarity of 0.8 are further apart than fingerprints of 64 bits can tell from chance, so others link by their shingles too:
+
+A document is the set of its distinct 5-word shingles; sets whose Jaccard similarity is SIMILAR or more link, and documents
+that links of either kind connect form classes. Equal sets are compared once. Others become candidates by MinHash: BANDS keys of ROWS minima each,
 so that a pair of similarity 0.8 shares no key with probability (1 - 0.8 ** 5) ** 40, below 2 in 10 ** 7. Each bucket of a key is
 linked to its smallest member only, and all pairs of the candidate groups that these links connect are compared, in
 tiles, in tasks of their own. The comparison counts the shingles that two sets share, so that nothing below the
@@ -24,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .durable import durable
-from .simhash import first_of_each, forest
+from .durable import durable, few
+from .simhash import fingerprints, first_of_each, forest, links
 from .textscan import Words, mix64, slices, span_hashes
 from .tiles import tiled
 
@@ -101,7 +104,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, keys = signatures(*shingle_sets(part.column("text")))
             offsets = pa.array(np.arange(len(names) + 1, dtype=np.int32) * BANDS)
             bands = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names.view(np.int64)), bands], [*part.schema.names[1:], "name", "keys"])
+            prints = pa.array(fingerprints(part.column("text")).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names.view(np.int64)), prints, bands], [*part.schema.names[1:], "name", "fp", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +133,18 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+def _by_fingerprint(prints: DataFrame, tile: int) -> DataFrame:
+    """prints(name, fp), distinct -> edges (a, b) of names: of each class of fingerprints the smallest name with all others."""
+    roots = components(links(prints.select("fp").distinct(), tile=tile)).select(F.col("node").alias("fp"), "root")
+    at = durable(prints.join(roots, "fp", "left").select("name", F.coalesce("root", "fp").alias("root")))
+    least = at.groupBy("root").agg(F.min("name").alias("a"), F.max("name").alias("most")).filter("a <> most").select("root", "a")
+    return at.join(few(durable(least)), "root").filter("a <> name").select("a", F.col("name").alias("b"))
+
+
 def keep_one(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """docs with one row of each class, chosen as by `simhash.keep_one`."""
     th = F.xxhash64("text").alias("th")
-    scanned = durable(docs.select("text", "doc_id", th).mapInArrow(_scan, "doc_id long, th long, name long, keys array<long>"))
+    scanned = durable(docs.select("text", "doc_id", th).mapInArrow(_scan, "doc_id long, th long, name long, fp long, keys array<long>"))
     rows = scanned.groupBy("doc_id", "th", "name").agg(F.count(F.lit(1)).alias("n"))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "keys")).alias("v")
     sets = durable(scanned.groupBy("name").agg(one).select("name", "v.doc_id", "v.th", "v.keys"))
@@ -145,6 +157,8 @@ def keep_one(docs: DataFrame, tile: int = TILE) -> DataFrame:
     held = texts.select("text", "name", "near").mapInArrow(_sets, "name long, near long, shingles array<long>")
     held = durable(held.groupBy("near", "name").agg(F.first("shingles").alias("shingles")))
     tiles = tiled(held.select("near", F.struct("name", "shingles").alias("item")), ["near"], "item", F.xxhash64("item.name"), tile)
-    roots = components(tiles.select("tiles").mapInArrow(_compare, "a long, b long")).select(F.col("node").alias("name"), "root")
+    alike = tiles.select("tiles").mapInArrow(_compare, "a long, b long")
+    close = _by_fingerprint(durable(scanned.select("name", "fp").distinct()), tile)
+    roots = components(alike.union(close)).select(F.col("node").alias("name"), "root")
     at = rows.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
     return first_of_each(docs, at)

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from tests.llm.test_simhash import WORD
+from tests.llm.test_simhash import WORD, brute_fingerprint
 
 import corpus_pipeline
 
@@ -55,3 +55,16 @@ def test_empty(spark):
     from tablewright.llm import nearcopies
 
     assert nearcopies.keep_one(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_links_of_both_kinds_make_classes(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(500)]
+    tail = [rnd.choice(words) for _ in range(100)]
+    often = "a b c " * 300  # fingerprints follow what is repeated, sets of shingles don't
+    texts = [often, often + " ".join(tail), "a b c " + " ".join([*tail[:-1], "other"]), " ".join(rnd.choice(words) for _ in range(60))]
+    prints = [brute_fingerprint(t) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 < min((prints[2] ^ p).bit_count() for p in prints[:2])
+    assert brute_kept(list(enumerate(texts))) == [0, 1, 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_near_duplicates(spark, docs, "").collect()) == [0, 3]
