@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, udf
 from ..functions.values import Val
-from ..storage import durable
+from ..storage import durable, few, scratch
 
 #: Kinds of tokens and their patterns, tried in this order.
 KINDS = (
@@ -110,12 +110,16 @@ def vocab_token(df: DataFrame, doc: str, token: str, sep: str | None = None) ->
 
 
 def vocab_doc_token(df: DataFrame, doc: str, token: str, sep: str | None = None, k1: float = 1.2, b: float = 0.75, tf: str = "count") -> DataFrame:
-    """doc, token, tf, expected_tf, tfidf, bm25, chi2: three small aggregates joined to the counts."""
-    n = _counts(df, doc, token, sep)
-    by_doc = n.groupBy("doc").agg(F.sum("n").alias("dl"))
-    by_token = n.groupBy("token").agg(F.sum("n").alias("gf"), F.count(F.lit(1)).alias("df"))
+    """doc, token, tf, expected_tf, tfidf, bm25, chi2. Tokens are dealt by document once, counted where they are and kept in files
+    with the length of their document; a vocabulary of many tokens is joined to these, one of few is sent to all tasks."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "counts")
+    dealt = _tokens(df, doc, token, sep).repartition("doc").groupBy("doc", "token").agg(F.count(F.lit(1)).alias("n"))
+    dealt.withColumn("dl", F.sum("n").over(Window.partitionBy("doc"))).write.parquet(path)
+    n = spark.read.parquet(path)
+    by_token = durable(n.groupBy("token").agg(F.sum("n").alias("gf"), F.count(F.lit(1)).alias("df")))
+    by_doc = n.groupBy("doc").agg(F.first("dl").alias("dl"))
     whole = by_doc.agg(F.sum("dl").cast("double").alias("_total"), F.count(F.lit(1)).cast("double").alias("_docs"))
-    j = n.join(by_doc, "doc").join(by_token, "token").crossJoin(F.broadcast(whole))
+    j = n.filter("doc is not null").join(few(by_token), "token").crossJoin(F.broadcast(whole))
     count, dl, gf = F.col("n").cast("double"), F.col("dl").cast("double"), F.col("gf").cast("double")
     total, docs = F.col("_total"), F.col("_docs")
     idf = F.ln(docs / F.col("df"))
