@@ -1,4 +1,13 @@
-from tablewright.operators import text
+from tablewright.operators import graph, text
+
+
+def test_statistics_without_components_take_no_rounds(spark, monkeypatch):
+    df = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("d", "d"), ("e", "f")], "s string, t string")
+    edges = graph.edge_list(df, "s", "t")
+    whole = graph.statistics(edges).first().asDict()
+    monkeypatch.setattr(graph, "connected", None)
+    got = graph.statistics(edges, components=False).first().asDict()
+    assert got == {k: v for k, v in whole.items() if k not in ("connected_components", "largest_component")} and got["nodes"] == 6
 
 
 def test_tokens_are_dealt_once(spark):
