@@ -120,7 +120,7 @@ def _approx_quantile(c, x: Val, p: Val) -> Val:
 
 
 AGGREGATES["approx_cardinality"] = lambda c, x: Val(F.approx_count_distinct(present(x), 0.01), "int")
-AGGREGATES["cardinality"] = lambda c, x: Val(F.count_distinct(present(x)), "int")
+AGGREGATES["cardinality"] = lambda c, x: Val(F.count_distinct(present(x)).alias("count(distinct)"), "int")  # a name by which it is told from count
 AGGREGATES["count"] = lambda c, x=None: Val(F.count(F.lit(1)) if x is None else F.count_if(truthy(x)), "int")
 AGGREGATES["all"] = lambda c, x: Val(F.bool_and(truthy(x)), "bool")
 AGGREGATES["any"] = lambda c, x: Val(F.bool_or(truthy(x)), "bool")

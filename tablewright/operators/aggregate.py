@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +41,25 @@ def _spread(grouped, keys: list[str], made: list[tuple[str, Column]]) -> DataFra
     return out.select(*[_at(k) for k in keys], *[F.col(f"_made{i}").alias(n) for i, (n, _) in enumerate(made)])
 
 
+#: Aggregates that keep an object for each group, those among them whose state has many columns, and counts of distinct values.
+OBJECTS, WIDE, DISTINCT = re.compile(r"percentile|median|collect_|mode\(|approx_"), re.compile("approx_count_distinct"), re.compile(r"(?i)(?<!approx_)(count\(distinct|count_distinct)")
+
+
+def _grouped(rows: DataFrame, keys: list[str], names: list[str], made: list[tuple[str, Column]]) -> DataFrame:
+    """Aggregates of the groups of keys, beside those keys that are named. Counts of distinct values, wide states and the others are
+    made apart and joined by group if some keep objects: in one aggregation there would be objects for each distinct value."""
+    kind = [1 if DISTINCT.search(str(c)) else 2 if WIDE.search(str(c)) else 0 for _, c in made]
+    if len(set(kind)) < 2 or not any(OBJECTS.search(str(c)) for _, c in made):
+        return _spread(rows.groupBy(*[_at(k) for k in keys]), names, made)
+    out = None
+    for part in sorted(set(kind)):
+        ends = [_at(k).alias(k if out is None else f"_key{part}_{j}") for j, k in enumerate(keys)]
+        columns = rows.groupBy(*ends).agg(*[c.alias(f"_made{i}") for i, (_, c) in enumerate(made) if kind[i] == part])
+        same = [_at(k).eqNullSafe(F.col(f"_key{part}_{j}")) for j, k in enumerate(keys)]
+        out = columns if out is None else out.join(columns, reduce(lambda a, b: a & b, same)) if keys else out.crossJoin(columns)
+    return out.select(*[_at(k) for k in names], *[F.col(f"_made{i}").alias(n) for i, (n, _) in enumerate(made)])
+
+
 def agg(df: DataFrame, source: str, order_by=None, along_rows: str | None = None, along_columns: str | None = None, pooled: str | None = None) -> DataFrame:
     """One row of aggregates. along_columns: the clauses for each column of a selection, as `_`, {} in names its name;
     along_rows: for each row, over the cells of a selection, as `_`; pooled: over all cells of a selection."""
@@ -50,7 +71,7 @@ def agg(df: DataFrame, source: str, order_by=None, along_rows: str | None = None
     rows, options = _options(df, source, order_by)
     if along_columns:
         return _spread(rows.groupBy(), [], _along(rows, source, select_names(df, along_columns), options))
-    return _spread(rows.groupBy(), [], aggregates.pairs(rows, source, **options))
+    return _grouped(rows, [], [], aggregates.pairs(rows, source, **options))
 
 
 def _along(df: DataFrame, source: str, columns: list[str], options: dict) -> list[tuple[str, Column]]:
@@ -83,11 +104,11 @@ def groupby(df: DataFrame, spec: str, source: str, order_by=None, keep: str | No
     made = _along(rows, source, select_names(df, along_columns), options) if along_columns else aggregates.pairs(rows, source, **options)
     extra = [(n, F.min_by(_at(n), order_struct(order_by))) for n in select_names(df, keep)] if keep else []
     first = [("_first", F.min(order_struct(order_by)))] if order_by else []
-    out = _spread(rows.groupBy(*run, *[_at(n) for n in names]), names, [*extra, *made, *first])
+    out = _grouped(rows, [*run, *names], names, [*extra, *made, *first])
     if order_by:
         out = out.orderBy("_first").drop("_first")
     if totals:
-        whole = _spread(rows.groupBy(), [], made)
+        whole = _grouped(rows, [], [], made)
         out = out.crossJoin(F.broadcast(whole.toDF(*[f"total_{c}" for c in whole.columns])))
     return out
 
