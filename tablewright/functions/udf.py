@@ -15,6 +15,8 @@ from urllib.parse import urljoin as _join
 from urllib.parse import urlsplit
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +49,19 @@ def _two(f):
     return run
 
 
+@functools.cache
+def _logarithm(name: str):
+    def run(a: pa.Array) -> pa.Array:
+        return getattr(pc, name)(a)
+
+    return F.arrow_udf(run, T.DoubleType())
+
+
+def logarithm(name: str, a: Column) -> Column:
+    """ln, log2 or log10 of doubles as the C library has them; those of Spark differ in the last bits."""
+    return _logarithm(name)(a)
+
+
 #: Letters that don't decompose.
 FOLDS = {"ß": "ss", "æ": "ae", "œ": "oe", "Æ": "AE", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "þ": "th", "Þ": "Th", "ð": "d", "ı": "i", "’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "..."}
 
