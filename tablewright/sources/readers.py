@@ -29,14 +29,17 @@ def delimiter(path: str) -> str:
     return DELIMITERS.get(name.rpartition(".")[2], ",")
 
 
-def csv(spark: SparkSession, path: str | list[str], sep: str | None = None, header: bool = True, infer: bool = False, quote: str = '"', escape: str = '"', multiline: bool = False, comment: str | None = None, trim: bool = False, path_column: str | None = None, schema=None, ragged: bool = True) -> DataFrame:
+def csv(spark: SparkSession, path: str | list[str], sep: str | None = None, header: bool = True, infer: bool = False, quote: str = '"', escape: str = '"', multiline: bool = False, comment: str | None = None, trim: bool = False, path_column: str | None = None, schema=None, ragged: bool = True, null: str = "") -> DataFrame:
     """Delimited text, compressed or not. Without line breaks in cells (the default) files are split among tasks.
 
-    ragged: rows of fewer or more cells are padded or cut, else an error.
+    ragged: rows of fewer or more cells are padded or cut, else an error; null: the cells that are null (if not the empty ones, these are
+    empty text where quoted).
     """
     first = path if isinstance(path, str) else path[0]
     reader = spark.read.option("sep", sep or delimiter(first)).option("header", header).option("quote", quote or "\u0000").option("escape", escape).option("multiLine", multiline)
-    reader = reader.option("inferSchema", infer).option("mode", "PERMISSIVE" if ragged else "FAILFAST").option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim)
+    reader = reader.option("inferSchema", infer).option("mode", "PERMISSIVE" if ragged else "FAILFAST").option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim).option("nullValue", null)
+    if quote == escape:
+        reader = reader.option("charToEscapeQuoteEscaping", escape)  # by default NUL, which would be dropped from cells
     if comment:
         reader = reader.option("comment", comment)
     if schema:

@@ -14,15 +14,20 @@ def _cells(df: DataFrame, limit: int | None = None) -> Iterator[list[str]]:
     return (list(r) for r in (rows.limit(limit) if limit else rows).toLocalIterator())
 
 
-def csv(df: DataFrame, path: str, sep: str = ",", header: bool = True, quote: str = '"', quote_all: bool = False, escape_char: str = '"', crlf: bool = False, compression: str | None = None) -> None:
-    writer = df.write.option("sep", sep).option("header", header).option("quote", quote).option("quoteAll", quote_all).option("escape", escape_char).option("emptyValue", "").option("nullValue", "")
+#: Spark's writer would cut white space from both ends of cells, quoted ones too.
+WHOLE = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def csv(df: DataFrame, path: str, sep: str = ",", header: bool = True, quote: str = '"', quote_all: bool = False, escape_char: str = '"', crlf: bool = False, compression: str | None = None, null: str = "") -> None:
+    """null: what is written for nulls; by default they are empty cells, as empty text is."""
+    writer = df.write.options(**WHOLE).option("sep", sep).option("header", header).option("quote", quote).option("quoteAll", quote_all).option("escape", escape_char).option("emptyValue", "").option("nullValue", null)
     if compression:
         writer = writer.option("compression", compression)
     if not crlf:
         writer.option("lineSep", "\n").csv(path)
         return
     # Spark's writer of delimited text takes separators of one character, that of lines any
-    shown = {"sep": sep, "quote": quote, "quoteAll": str(quote_all).lower(), "escape": escape_char, "emptyValue": "", "nullValue": ""}
+    shown = {"sep": sep, "quote": quote, "quoteAll": str(quote_all).lower(), "escape": escape_char, "emptyValue": "", "nullValue": null} | WHOLE
     rows = df.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), shown).alias("value"))
     if header:
         names = F.to_csv(F.struct(*[F.lit(c).alias(f"c{i}") for i, c in enumerate(df.columns)]), shown)
@@ -85,7 +90,7 @@ def excel(df: DataFrame, path: str) -> None:
 
 def split(df: DataFrame, path: str, size: int | None = None, chunks: int | None = None, sep: str = ",") -> None:
     """Files of at most `size` rows, or so many files."""
-    writer = (df.repartition(chunks) if chunks else df).write.option("header", True).option("sep", sep)
+    writer = (df.repartition(chunks) if chunks else df).write.options(**WHOLE).option("header", True).option("sep", sep)
     (writer.option("maxRecordsPerFile", size or 4096) if not chunks else writer).csv(path)
 
 
@@ -95,4 +100,4 @@ def partition(df: DataFrame, path: str, column: str, fold: bool = True, prefix:
     key = F.lower(key) if fold else key
     key = F.left(key, F.lit(prefix)) if prefix else key
     out = df.withColumn("_part", key)
-    (out.drop(column) if drop else out).write.partitionBy("_part").option("header", True).csv(path)
+    (out.drop(column) if drop else out).write.options(**WHOLE).partitionBy("_part").option("header", True).csv(path)
