@@ -194,8 +194,11 @@ def _rounding(name: str, build: Callable[[Column], Column]) -> None:
         if unit is None:
             return v if v.kind == "int" else Val(build(v.col).cast("long"), "int")
         u = number(unit)
-        out = build(v.col.cast("double") / u.col.cast("double")) * u.col
-        return Val(out.cast("long"), "int") if v.kind == u.kind == "int" else Val(out.cast("double"), "float")
+        q = v.col.cast("double") / u.col.cast("double")
+        if v.kind == u.kind == "int":
+            return Val((build(q) * u.col).cast("long"), "int")
+        # Spark rounds doubles to 64 bits, without a signed zero; from 2 ** 53 on they are whole already, or infinite, or no number
+        return Val(F.when((q != 0) & (F.abs(q) < 2.0**53), build(q).cast("double")).otherwise(q) * u.col.cast("double"), "float")
 
     FUNCTIONS[name] = run
 

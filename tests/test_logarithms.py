@@ -31,3 +31,13 @@ def test_edges_and_places(spark):
     assert aggregate.groupby(some, "x", "sum(log2(x)) as s, log2(sum(x)) as t").filter("x = 8").first()[1:] == (3.0, 3.0)
     assert rows.filter_rows(some, "log2(x) == 3").count() == 1
     assert [r.l for r in aggregate.window(some.filter("x = 8"), "log2(lead(x)) as l, cumsum(log2(x)) as c", "x").collect()] == [None]
+
+
+def test_prices_that_64_bits_do_not_hold(spark, tmp_path):
+    odd = [0.0, -0.0, -1.5, 250.005, 9.3e18, -1e20, 1e300, math.inf, -math.inf, math.nan, None]
+    spark.createDataFrame([(i, i + 1, p) for i, p in enumerate(odd)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.sql(queries.SQL["scalar_math"])
+    got = queries.QUERIES["scalar_math"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
