@@ -1,5 +1,5 @@
 """Shared storage, as in the rest of the library."""
 
-from ..storage import durable, few, remove, scratch, shared_root
+from ..storage import durable, few, located, remove, scratch, shared_root
 
-__all__ = ["durable", "few", "remove", "scratch", "shared_root"]
+__all__ = ["durable", "few", "located", "remove", "scratch", "shared_root"]

@@ -19,16 +19,14 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .durable import scratch
+from .durable import located, scratch
 from .textscan import slices
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -54,14 +52,6 @@ def width(eod: int) -> type:
     return np.uint16 if eod < 1 << 16 else np.uint32
 
 
-def located(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI as Spark writes them (file:/x), and the path in it."""
-    parts = urlsplit(path)
-    if parts.scheme in ("", "file"):
-        return fs.LocalFileSystem(), unquote(parts.path) if parts.scheme else path
-    return fs.FileSystem.from_uri(path)
-
-
 def write_flat(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> tuple[DataFrame, int]:
     """Write docs(doc_id, text) to flat files in `path` -> ((file, ordinal, doc_id), the separator: the first identifier beyond the tokenizer's).
 

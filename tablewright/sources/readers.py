@@ -8,11 +8,13 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import durable
+from ..storage import durable, located
 
 #: Delimiters by extension.
 DELIMITERS = {"csv": ",", "tsv": "\t", "tab": "\t", "ssv": ";", "scsv": ";", "psv": "|", "cdx": " "}
@@ -97,7 +99,7 @@ def flattened(df: DataFrame) -> DataFrame:
     return df
 
 
-def json(spark: SparkSession, path: str, root: str | None = None, lines: bool = False) -> DataFrame:
+def json(spark: SparkSession, path: str | list[str], root: str | None = None, lines: bool = False) -> DataFrame:
     df = spark.read.json(path, multiLine=not lines)
     if root:
         for step in root.split("."):
@@ -114,16 +116,47 @@ def entries(spark: SparkSession, path: str, key: str = "key", value: str = "valu
     return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, value))
 
 
-def single(spark: SparkSession, path: str) -> DataFrame:
+def single(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Files that hold one JSON object each, as a row each, nested fields as columns joined by dots."""
     return json(spark, path)
 
 
-def pages(spark: SparkSession, path: str | list[str], name: str = "html") -> DataFrame:
-    """Files of a folder or pattern, a row each: path and the whole text."""
+#: Bytes of texts that `pages` gives at once.
+PAGES_BYTES = 8 << 20
+
+
+def pages(spark: SparkSession, path: str | list[str], name: str = "html", by_tasks: bool = False) -> DataFrame:
+    """Files of a folder or pattern, a row each: path and the whole text.
+
+    by_tasks: path are folders, each listed and read by a task through pyarrow, so that the driver knows none of their files, which may
+    be too many for it.
+    """
+    if by_tasks:
+        folders = [path] if isinstance(path, str) else path
+        return spark.createDataFrame([(f,) for f in folders], "folder string").repartition(max(1, len(folders))).mapInArrow(_read_folders, "path string, text string").withColumnRenamed("text", name)
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias(name))
 
 
+def _read_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for folder in (f for batch in batches for f in batch.column(0).to_pylist()):
+        system, at = located(folder)
+        paths, texts, held = [], [], 0
+        for file in system.get_file_info(fs.FileSelector(at)):
+            if file.is_file and not file.base_name.startswith((".", "_")):
+                with system.open_input_stream(file.path) as f:
+                    texts.append(str(f.read(), "utf-8", "replace"))
+                paths.append(f"{folder}/{file.base_name}")
+                held += file.size
+                if held >= PAGES_BYTES:
+                    yield _texts(paths, texts)
+                    paths, texts, held = [], [], 0
+        yield _texts(paths, texts)
+
+
+def _texts(*columns: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["path", "text"])
+
+
 def ndjson(spark: SparkSession, path: str) -> DataFrame:
     return json(spark, path, lines=True)
 

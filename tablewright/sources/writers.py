@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html import escape
+from urllib.parse import quote as quoted
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import located
+
+#: Most files that `apart` puts into a folder.
+FOLDER_FILES = 1000
+
 
 def _cells(df: DataFrame, limit: int | None = None) -> Iterator[list[str]]:
     rows = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns])
@@ -101,3 +109,32 @@ def partition(df: DataFrame, path: str, column: str, fold: bool = True, prefix:
     key = F.left(key, F.lit(prefix)) if prefix else key
     out = df.withColumn("_part", key)
     (out.drop(column) if drop else out).write.options(**WHOLE).partitionBy("_part").option("header", True).csv(path)
+
+
+def apart(df: DataFrame, path: str) -> list[str]:
+    """A file for each row of df(key, text), named by key, in folders below path -> the folders.
+
+    The tasks write the files by pyarrow: Spark's writer would make a folder for each, and the driver move them one by one. Equal keys
+    have files of their own; a null text is an empty file.
+    """
+    key, text = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, folder = TaskContext.get(), 0, ""
+        system, at = located(path)
+        for batch in batches:
+            made = []
+            for k, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if n % FOLDER_FILES == 0:
+                    # an attempt has folders of its own, so what a lost one wrote is in none that is returned
+                    folder = f"{task.partitionId():06d}-{task.taskAttemptId()}-{n // FOLDER_FILES:06d}"
+                    system.create_dir(f"{at}/{folder}", recursive=True)
+                    made.append(f"{path}/{folder}")
+                with system.open_output_stream(f"{at}/{folder}/{n % FOLDER_FILES:03d}.{key}={quoted(k or '', safe='')}.txt") as out:
+                    if cell.is_valid:
+                        out.write(cell.as_buffer())
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["folder"])
+
+    cells = df.select(*[F.col(f"`{c}`").cast("string") for c in (key, text)])
+    return [r.folder for r in cells.hint("rebalance").mapInArrow(run, "folder string").collect()]
